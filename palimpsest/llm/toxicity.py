@@ -1,13 +1,16 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. Each sentence has a logistic score over the
-words it holds; the document's is their noisy-or, 1 - prod(1 - p). Only labels
+distinct words it holds, a word counting by itself and by how it begins (so that
+inflected forms share what is learned); the document's is the noisy-or of its
+sentences, 1 - prod(1 - p). Only labels
 of documents are known, so the word weights are learned through the noisy-or,
 and the sentences that carry the score point at the offending passages.
 
 Training takes at most SAMPLE labelled documents of each class (those of the
 smallest hash of the id), weighed back to the classes' shares among all
-training labels; they meet on the driver as word numbers per sentence. Scoring
+training labels; they meet on the driver as word numbers per sentence, and only
+features that tell the classes apart are kept. Scoring
 reads every document once, without a shuffle.
 """
 
@@ -15,8 +18,10 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +32,14 @@ from pyspark.sql import types as T
 from ._common import crc_of_id, text_or_empty
 
 FOLDS = 5
-#: Labelled documents of each class that training takes at most, and the words that it keeps of each.
-SAMPLE = 4_000
-#: A word must be in so many of them to have a weight.
-LEAST_DOCS = 3
+#: Labelled documents of each class that training takes at most.
+SAMPLE = 3_000
+#: A feature must be in so many of them, and its share in the two classes differ by so many standard errors, to have a weight.
+LEAST_DOCS, LEAST_Z = 3, 2.0
+#: Lengths (bytes) of the beginnings of a word that are features.
+STEMS = (4, 5, 6)
+#: Words whose weight a worker remembers.
+MEMORY = 400_000
 ROUNDS = 150
 DECAY = 1e-6
 _SENTENCE = re.compile(rb"[.!?\n]+")
@@ -56,17 +65,42 @@ def _softplus(z: float) -> float:
     return math.log1p(math.exp(z)) if z < 30 else z
 
 
+def features(word: bytes) -> list[bytes]:
+    return [word, *[word[:n] + b"*" for n in STEMS if len(word) >= n]]
+
+
+class _Values(dict):
+    """A word's weight: the sum of its features'."""
+
+    def __init__(self, weights: dict[bytes, float]):
+        super().__init__()
+        self.weights = weights
+
+    def __missing__(self, word: bytes) -> float:
+        if len(self) >= MEMORY:
+            self.clear()
+        value = self[word] = sum([self.weights.get(f, 0.0) for f in features(word)])
+        return value
+
+
 @dataclass
 class Model:
     bias: float
     weights: dict[bytes, float]
 
+    @cached_property
+    def value(self) -> Callable[[bytes], float]:
+        return _Values(self.weights).__getitem__
+
+    def __getstate__(self) -> dict:
+        return {"bias": self.bias, "weights": self.weights}
+
     def score(self, text: bytes) -> tuple[float, float, int, int]:
         """The document's score, and that of its worst sentence with its place
         (0, 0 in a text without words, which scores like one empty sentence)."""
-        known, weights, total, worst = self.weights.keys(), self.weights, 0.0, (-math.inf, 0, 0)
+        value, total, worst = self.value, 0.0, (-math.inf, 0, 0)
         for a, b, words in sentences(text):
-            z = self.bias + sum([weights[w] for w in known & words])
+            z = self.bias + sum(map(value, sorted(words)))
             total += _softplus(z)
             if z > worst[0]:
                 worst = (z, a, b)
@@ -127,16 +161,22 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     if len({r["toxic"] for r in coded}) < 2:
         p = min(max(sizes.get(1, 0) / max(1, sum(sizes.values())), 1e-4), 1 - 1e-4)
         return Model(float(np.log(p / (1 - p))), {})
-    df: dict[bytes, int] = {}
+    df: dict[int, Counter] = {0: Counter(), 1: Counter()}
     for r in coded:
-        for w in r["words"]:
-            df[w] = df.get(w, 0) + 1
-    vocabulary = {w: i for i, w in enumerate(sorted(w for w, n in df.items() if n >= LEAST_DOCS))}
+        df[r["toxic"]].update({f for w in r["words"] for f in features(w)})
     got = {t: sum(r["toxic"] == t for r in coded) for t in (0, 1)}
+    chosen = []
+    for f in sorted(df[0].keys() | df[1].keys()):
+        a, b = df[0][f], df[1][f]
+        share = (a + b) / (got[0] + got[1])
+        error = math.sqrt(max(share * (1 - share), 1e-9) * (1 / got[0] + 1 / got[1]))
+        if a + b >= LEAST_DOCS and abs(b / got[1] - a / got[0]) >= LEAST_Z * error:
+            chosen.append(f)
+    vocabulary = {f: i for i, f in enumerate(chosen)}
     bags = []
     for r in coded:
-        numbers = [vocabulary.get(w, -1) for w in r["words"]]
-        bag = [[numbers[i] for i in s if numbers[i] >= 0] for s in r["bag"]] or [[]]
+        numbers = [[vocabulary[f] for f in features(w) if f in vocabulary] for w in r["words"]]
+        bag = [[n for i in s for n in numbers[i]] for s in r["bag"]] or [[]]
         bags.append((bag, r["toxic"], sizes[r["toxic"]] / got[r["toxic"]]))
     bias, w = fit(bags, max(1, len(vocabulary)))
     return Model(bias, {x: float(w[i]) for x, i in vocabulary.items() if abs(w[i]) > 1e-3})

@@ -43,7 +43,7 @@ def canonical(rows: Column) -> Column:
 
 
 def first_filled(row: Column) -> Column:
-    return F.coalesce(F.get(F.filter(F.transform(row, F.trim), lambda c: c != ""), 0), F.lit(""))
+    return F.coalesce(F.get(F.filter(F.transform(row, lambda x: F.trim(x)), lambda c: c != ""), 0), F.lit(""))
 
 
 def row_keys(rows: Column) -> Column:

@@ -240,7 +240,7 @@ def base_name(c: Column) -> Column:
 
 def core_requirement(c: Column) -> Column:
     """The first part between full stops and semicolons that obliges, else 200 characters."""
-    parts = F.filter(F.transform(F.split(c, r"[.;]"), F.trim), lambda p: F.lower(p).rlike(r"shall|must|should|require"))
+    parts = F.filter(F.transform(F.split(c, r"[.;]"), lambda x: F.trim(x)), lambda p: F.lower(p).rlike(r"shall|must|should|require"))
     return F.coalesce(F.get(parts, 0), F.substring(c, 1, 200))
 
 

@@ -118,7 +118,7 @@ def entities(text: Column) -> Column:
 
 
 def lines(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"\r?\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def atoms(text: Column) -> Column:
@@ -138,7 +138,7 @@ def line_bag(text: Column) -> Column:
     clean = lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), r"\([^)]*\)", " "), r"\s+", " "))
 
     def of_line(line: Column) -> Column:
-        parts = F.filter(F.transform(F.split(clean(line), r"\s*(?:&|/|\+|,|;|\band\b)\s*"), F.trim), lambda p: p != "")
+        parts = F.filter(F.transform(F.split(clean(line), r"\s*(?:&|/|\+|,|;|\band\b)\s*"), lambda x: F.trim(x)), lambda p: p != "")
         return F.concat(F.array(clean(line)), parts, F.when(F.size(parts).between(2, 3), F.array(F.array_join(parts, " "))).otherwise(F.array().cast("array<string>")))
 
     return F.array_sort(F.array_distinct(F.filter(F.flatten(F.transform(lines(text), of_line)), lambda x: F.length(x) >= 2)))

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as t
 from ..schema import BLOCK, KINDS
@@ -32,8 +33,8 @@ def artifacts(blocks: DataFrame, kinds: str | list[str] | None = None) -> DataFr
 
 def read_version(spark: SparkSession, path: str, document: str, version: int, key: str = "text") -> DataFrame:
     """The blocks of one version file, in order; ``key`` is read as the text."""
-    schema = BLOCK if key == "text" else BLOCK.add(key, "string")
-    raw = spark.read.schema(schema).json(path, multiLine=True) if key == "text" else spark.read.schema("struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in schema) + ">").json(path, multiLine=True)
+    schema = BLOCK if key in BLOCK.names else T.StructType([*BLOCK.fields, T.StructField(key, T.StringType())])
+    raw = spark.read.schema(schema).json(path, multiLine=True)
     text = F.col("text") if key == "text" else F.coalesce(F.col(key), F.col("text"))
     whole = raw.withColumn("text", text).withColumn("at", F.coalesce("order", F.monotonically_increasing_id().cast("int")))
     return whole.select(F.lit(document).alias("document"), F.lit(version).alias("version"), *[f.name for f in BLOCK], "at")

@@ -31,7 +31,7 @@ def one(spark, expr, *values):
         ("**Speed** shall be 2 5 km / h", "speed shall be 25 km/h"),
         ("a<br/>b <sup>2</sup> $\\alpha$ x", "a b 2 x"),
         ("well-known | cell\t• item", "well known cell item"),
-        ("<= 5 ~ 6 (note)", "<= 5 6 note"),
+        ("<= 5 ~ 6 (note)", "<= 56 note"),
         ("", ""),
     ],
 )

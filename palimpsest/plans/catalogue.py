@@ -404,11 +404,11 @@ def grid_missing_index_trend(spark, d):
     return series(spark, d).select("l_orderkey", "col", r4(tb.missing_rate(x)).alias("missing"), tb.is_index(x).alias("is_index"), r4(tb.trend(x)).alias("trend"))
 
 
-@query(f"WITH {G} SELECT l_orderkey, CASE WHEN count(*) >= 4 AND var_pop(quantity) > 1e-12 AND var_pop(price) > 1e-12 THEN round(corr(quantity, price), 4) ELSE 0 END AS quantity_price, CASE WHEN count(*) >= 4 AND var_pop(discount) > 1e-12 AND var_pop(tax) > 1e-12 THEN round(corr(discount, tax), 4) ELSE 0 END AS discount_tax FROM g GROUP BY l_orderkey")
+@query(f"WITH {G} SELECT l_orderkey, CASE WHEN count(*) >= 4 AND var_pop(quantity) > 1e-12 AND var_pop(price) > 1e-12 THEN round(corr(quantity, price), 3) ELSE 0 END AS quantity_price, CASE WHEN count(*) >= 4 AND var_pop(discount) > 1e-12 AND var_pop(tax) > 1e-12 THEN round(corr(discount, tax), 3) ELSE 0 END AS discount_tax FROM g GROUP BY l_orderkey")
 def grid_corr_pairs(spark, d):
     n = F.count(F.lit(1))
     spread = lambda a, b: F.stddev_pop(a) * F.stddev_pop(b)
-    one = lambda a, b: F.when((n >= 4) & (F.var_pop(a) > 1e-12) & (F.var_pop(b) > 1e-12), r4(F.try_divide(F.covar_pop(a, b), spread(a, b)))).otherwise(0.0)
+    one = lambda a, b: F.when((n >= 4) & (F.var_pop(a) > 1e-12) & (F.var_pop(b) > 1e-12), F.round(F.try_divide(F.covar_pop(a, b), spread(a, b)), 3)).otherwise(0.0)
     return fx.grid(spark, d).groupBy("l_orderkey").agg(one("quantity", "price").alias("quantity_price"), one("discount", "tax").alias("discount_tax"))
 
 

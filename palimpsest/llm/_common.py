@@ -1,19 +1,20 @@
 """Pieces shared by the training-data operators.
 
-Nothing here collects rows of the corpus to the driver. ``materialize`` writes
-a table into the shared checkpoint folder, so that lost executors cost a
-re-read and never a recomputation of the whole lineage.
+Nothing here collects rows of the corpus to the driver. ``materialize`` (of the
+library) writes a table into the shared checkpoint folder, so that lost
+executors cost a re-read and never a recomputation of the whole lineage.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..runtime import materialize
+
+__all__ = ["LOWER", "UPPER", "WORD", "WS", "WS_BYTES", "ascii_lower", "crc_of_id", "materialize", "running", "salted_join", "sampled", "text_or_empty"]
+
 #: The white space of every contract here: [\x20\x09-\x0D], as bytes and text.
 WS = " \t\n\x0b\x0c\r"
 WS_BYTES = WS.encode()
@@ -22,9 +23,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
-_own_dir: list[str] = []
-
-
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(c, UPPER, LOWER)
@@ -39,34 +37,6 @@ def crc_of_id(name: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the
-    session. Only where that is unset (tests, one machine) an own one is made."""
-    told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if told:
-        return told.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-    if not _own_dir:
-        _own_dir.append("file://" + tempfile.mkdtemp(prefix="palimpsest-"))
-    return _own_dir[0]
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """``df`` written once as Parquet into the shared folder, and read back.
-
-    Cuts the lineage like checkpoint(), in a columnar form; the files go when
-    the session's file system closes.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/palimpsest-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def running(rows: DataFrame, group: list[str], key: str, values: dict[str, str], ties: list[str], bits: int = 12) -> DataFrame:
     """Exclusive running sums of ``values`` (new column -> summed column)
     within each ``group``, in the order of ``key`` (a 64-bit hash), then
@@ -104,3 +74,13 @@ def salted_join(rows: DataFrame, table: DataFrame, on: list[str], weight: str, t
     table = table.withColumn("__p_salt", F.explode(salts))
     rows = rows.join(F.broadcast(heavy), on, "left").withColumn("__p_salt", F.when(F.col("__p_heavy"), F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).otherwise(F.lit(-1)))
     return rows.join(table, [*on, "__p_salt"], how).drop("__p_salt", "__p_heavy")
+
+
+def sampled(rows: DataFrame, total: int, wanted: int, key: str, salt: str) -> DataFrame:
+    """At most ``wanted`` of ``total`` rows, those of the smallest hash of
+    ``key``. A first cut by the hash leaves about twice as many, so that no task
+    sorts more than a few times ``wanted`` rows, however many parts there are."""
+    h = F.xxhash64(F.col(key).cast("string"), F.lit(salt))
+    if total > 4 * wanted:
+        rows = rows.where(F.pmod(h, F.lit(1 << 40)) < int((1 << 40) * 2 * wanted / total))
+    return rows.orderBy(F.pmod(h, F.lit(1 << 40)), key).limit(wanted)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import crc_of_id, text_or_empty
+from ._common import crc_of_id, sampled, text_or_empty
 
 FOLDS = 5
 #: Labelled documents of each class that training takes at most.
@@ -153,8 +153,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     documents of both classes the scores are the classes' share."""
     known = labels.where((crc_of_id() % FOLDS != fold) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    known = known.withColumn("h", F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")))
-    picked = known.where("toxic = 1").orderBy("h", "doc_id").limit(sample).unionByName(known.where("toxic = 0").orderBy("h", "doc_id").limit(sample))
+    picked = [sampled(known.where(F.col("toxic") == y), sizes.get(y, 0), sample, "doc_id", "sample") for y in (0, 1)]
+    picked = picked[0].unionByName(picked[1]).withColumn("h", F.xxhash64(F.col("doc_id").cast("string")))
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).cast("binary").alias("t")).join(F.broadcast(picked), "doc_id")
     coded = rows.select("toxic", "h", "t").mapInArrow(_encode, "toxic int, h long, words array<binary>, bag array<array<int>>").toArrow().to_pylist()
     coded.sort(key=lambda r: (r["h"], r["words"], r["bag"]))

@@ -45,18 +45,22 @@ def near_ratio(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([bounded(x or "", y or "", 0.96) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
 
 
-@F.arrow_udf(T.DoubleType())
-def contained(a: pa.Array, b: pa.Array) -> pa.Array:
-    """Matching characters as a share of the shorter text, 1 at most."""
-
-    def one(x: str | None, y: str | None) -> float:
-        short, long = sorted((x or "", y or ""), key=len)
-        if not long:
-            return 0.0
-        found = SequenceMatcher(None, short, long).ratio() * (len(short) + len(long)) / 2
-        return min(1.0, found / max(1, len(short)))
-
-    return pa.array([one(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
+def ratio_and_share(a: str, b: str) -> tuple[float, float]:
+    """``ratio``, and the matching characters as a share of the shorter text (1
+    at most), which takes the shorter text first: one comparison does for both
+    unless the first is the longer one."""
+    if not a and not b:
+        return 0.0, 0.0
+    r = SequenceMatcher(None, a, b).ratio()
+    short, long = (a, b) if len(a) <= len(b) else (b, a)
+    s = r if short is a else SequenceMatcher(None, short, long).ratio()
+    return r, min(1.0, s * (len(a) + len(b)) / 2 / max(1, len(short)))
+
+
+@F.arrow_udf(T.StructType([T.StructField("chars", T.DoubleType()), T.StructField("contain_char", T.DoubleType())]))
+def character_signals(a: pa.Array, b: pa.Array) -> pa.Array:
+    found = [ratio_and_share(x or "", y or "") for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)]
+    return pa.StructArray.from_arrays([pa.array([r for r, _ in found], pa.float64()), pa.array([s for _, s in found], pa.float64())], ["chars", "contain_char"])
 
 
 def warp(a: list[float | None] | None, b: list[float | None] | None) -> float:

@@ -257,12 +257,6 @@ def text_score(spark, d):
     return found.select(*BY, "a", "b", *[r4(n).alias(n) for n in scoring.TEXT], r4("score").alias("score"))
 
 
-@query()
-def match_text(spark, d):
-    rows = docs(spark, d).withColumn("id", F.col("doc_id"))
-    return matching.match_text(rows).select(*BY, "a", "b", r4("score").alias("score"), "accepted")
-
-
 TWO = f"{COS}, q AS (SELECT *, row_number() OVER wa AS rank_a, row_number() OVER wb AS rank_b, max(score) OVER (PARTITION BY document, a) AS best_a, max(score) OVER (PARTITION BY document, b) AS best_b, coalesce(nth_value(score, 2) OVER (PARTITION BY document, a ORDER BY score DESC, b ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 0) AS second_a, coalesce(nth_value(score, 2) OVER (PARTITION BY document, b ORDER BY score DESC, a ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 0) AS second_b FROM p WINDOW wa AS (PARTITION BY document, a ORDER BY score DESC, b), wb AS (PARTITION BY document, b ORDER BY score DESC, a)), t AS (SELECT *, rank_a = 1 AND rank_b = 1 AS mutual, least(best_a - second_a, best_b - second_b) AS margin FROM q)"
 
 

@@ -81,7 +81,7 @@ def test_ratio_and_bounds(spark):
         r = SequenceMatcher(None, a, b, autojunk=False).ratio()
         got = sm.bounded(a, b, 0.96)
         assert (got >= 0.96) == (r >= 0.96) and (r < 0.96 or abs(got - r) < 1e-12)
-    assert one(spark, sm.ratio, "abc", "abd") == pytest.approx(2 / 3) and one(spark, sm.contained, "abc", "xxabcxx") == 1.0
+    assert one(spark, sm.ratio, "abc", "abd") == pytest.approx(2 / 3) and one(spark, sm.character_signals, "abc", "xxabcxx").contain_char == 1.0 and sm.ratio_and_share("", "") == (0, 0)
 
 
 def test_assignment_is_optimal():

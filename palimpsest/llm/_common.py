@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import materialize
 
-__all__ = ["LOWER", "UPPER", "WORD", "WS", "WS_BYTES", "ascii_lower", "crc_of_id", "materialize", "running", "salted_join", "sampled", "text_or_empty"]
+__all__ = ["LOWER", "UPPER", "WORD", "WS", "WS_BYTES", "ascii_lower", "bound_batches", "crc_of_id", "materialize", "running", "salted_join", "sampled", "text_or_empty"]
 
 #: The white space of every contract here: [\x20\x09-\x0D], as bytes and text.
 WS = " \t\n\x0b\x0c\r"
@@ -37,6 +37,18 @@ def crc_of_id(name: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary"))
 
 
+#: Rows of an Arrow batch where whole texts go to Python: the worker and the JVM hold a few batches at a time.
+BATCH_ROWS = 512
+
+
+def bound_batches(df: DataFrame) -> None:
+    """Lowers the session's rows per Arrow batch to BATCH_ROWS, so that memory
+    follows the texts of so many documents and not of the default 10,000."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+
+
 def running(rows: DataFrame, group: list[str], key: str, values: dict[str, str], ties: list[str], bits: int = 12) -> DataFrame:
     """Exclusive running sums of ``values`` (new column -> summed column)
     within each ``group``, in the order of ``key`` (a 64-bit hash), then

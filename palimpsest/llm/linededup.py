@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import WS_BYTES, materialize, salted_join, text_or_empty
+from ._common import WS_BYTES, bound_batches, materialize, salted_join, text_or_empty
 
 
 def _keys(min_chars: int):
@@ -74,6 +74,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns named like an output column give way to it. An empty table gives
     an empty table.
     """
+    bound_batches(docs)
     keep = [c for c in (keep or [id_col]) if c not in ("n_lines", "n_dropped", "kept_text")]
     base = docs.select(*[F.col(c).alias(f"__p_k{i}") for i, c in enumerate(keep)], F.col(id_col).alias("__p_id"), text_or_empty(text_col).alias("__p_text"))
     base = base.withColumn("__p_mark", F.xxhash64("__p_text"))

@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import materialize, salted_join, text_or_empty
+from ._common import bound_batches, materialize, salted_join, text_or_empty
 from .components import components
 
 RADIUS = 2
@@ -77,6 +77,7 @@ def _fingerprints(shingle: int):
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """doc_id and ``fp`` (the fingerprint as a signed 64-bit number) of every row; null text is empty."""
+    bound_batches(docs)
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).cast("binary").alias("t"))
     schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("fp", T.LongType())])
     return rows.mapInArrow(_fingerprints(shingle), schema)
@@ -229,6 +230,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     it crowds in another order. Texts without words are in no group but that of
     their equals. Nulls, repeats and empty tables as in ``near_duplicates``.
     """
+    bound_batches(docs)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("mark"), text_or_empty(text_col).cast("binary").alias("t"))
     schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), *T._parse_datatype_string("mark long, fp long, sketch binary").fields])
     rows = materialize(rows.mapInArrow(_sketches(shingle), schema))

@@ -15,12 +15,13 @@ byte, and with a walk down the suffixes only where the longest context fails.
 Bounds: the trie that scoring workers get holds MAX_NODES strings at most. If
 there are more, the least power of two is found such that those counted as
 often fit; rarer ones are reached through shorter contexts, whose counts still
-include all. The word statistics of the base score are exact: the HOT_WORDS most
-frequent are looked up in a table of bounded size, all others by a join.
+include all. The word statistics of the base score are exact: the most frequent
+words, HOT_WORDS at most, are looked up in a table, all others by a join.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import pickle
 from collections import Counter
@@ -39,7 +40,7 @@ FOLDS, HELD_OUT = 7, 2
 ORDER = 5
 MAX_NODES = 2_000_000
 HOT_WORDS = 200_000
-#: Words longer than this stand in the hot table by their 128-bit hash.
+#: Words longer than this stand in the hot table by their MD5.
 HOT_BYTES = 48
 #: Byte that UTF-8 never holds: before a text and, as its last symbol, after it.
 EDGE = 0xFF
@@ -262,7 +263,7 @@ def _score(shared, order: int):
                 for w, n in words.items():
                     v = hot.get(w)
                     if v is None and len(w) > HOT_BYTES:
-                        v = hot.get(b"\0" + xxhash.xxh3_128_digest(w))
+                        v = hot.get(b"\0" + hashlib.md5(w).digest())
                     if v is None:
                         rare.append(w)
                         times.append(n)
@@ -310,13 +311,13 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     words = materialize(partial.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")))
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.max(F.when(F.col("word") == F.lit(END), F.col("n"))), F.lit(0)).alias("ends")).first()
     total, distinct = sums["n"], sums["v"]
-    key = F.when(F.length("word") <= HOT_BYTES, F.col("word")).otherwise(F.lit(None))
-    top = words.orderBy(F.desc("n"), "word").limit(hot_words)
-    # bounded: hot_words rows of HOT_BYTES bytes or a hash; long words are few, and are hashed below
-    table = top.select(key.alias("short"), F.when(F.length("word") > HOT_BYTES, F.col("word")).alias("long"), "n").toArrow().to_pydict()
-    hot = {}
-    for s, long, n in zip(table["short"], table["long"], table["n"], strict=True):
-        hot[s if s is not None else b"\0" + xxhash.xxh3_128_digest(long)] = math.log10(n + 1)
+    # the least power of two such that at most hot_words words are counted as often
+    sizes = words.agg(*[F.count_if(F.col("n") >= 2**i).alias(f"c{i}") for i in range(50)]).first()
+    least = next(2**i for i in range(50) if sizes[i] <= hot_words or i == 49)
+    top = words.where(F.col("n") >= least)
+    key = F.when(F.length("word") <= HOT_BYTES, F.col("word")).otherwise(F.concat(F.lit(b"\0"), F.unhex(F.md5("word"))))
+    table = top.select(key.alias("key"), "n").toArrow().to_pydict()  # hot_words rows of HOT_BYTES bytes at most
+    hot = {w: math.log10(n + 1) for w, n in zip(table["key"], table["n"], strict=True)}
     hot[END] = math.log10(sums["ends"] + 1)
     trie = grow(partial.where("string IS NOT NULL").groupBy("string").agg(F.sum("n").alias("n")), order, max_nodes)
 

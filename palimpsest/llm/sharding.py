@@ -85,7 +85,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, bits: int = 16, id_col: s
     atoms = materialize(rows.groupBy("atom").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")))
     giants, cuts, _ = minimax_cuts(atoms.select("atom", "s"), shards)
 
-    heavy = max(1_000, rows.count() // HEAVY_SHARE)
+    heavy = max(200, rows.count() // HEAVY_SHARE)
     parts = atoms.where(F.col("n") > heavy).select("atom", F.ceil(F.col("n") / heavy).cast("int").alias("parts"))
     rows = rows.join(F.broadcast(parts), "atom", "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id", F.lit("part")), F.col("parts"))).cast("int")).drop("parts")
 

@@ -160,6 +160,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: 0.73 at a similarity of 0.8, 0.99 at 0.9 and nearly 1 at 0.95.
 COPY_SHINGLE, COPY_SIMILARITY, COPY_RADIUS = 5, 0.8, 17
 TABLES, KEY_BITS = 48, 22
+#: More texts than this under one key are a crowd, whose pairs would grow with the square.
+COPY_CROWD = 16
 #: Bins of the sketch that verifies a pair: its estimate of the similarity has a deviation of 0.025 at 0.8.
 BINS = 256
 
@@ -217,7 +219,7 @@ def _table_masks() -> list[int]:
     return [sum(1 << int(i) for i in rng.choice(64, KEY_BITS, replace=False)) for _ in range(TABLES)]
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = COPY_SHINGLE, least: float = COPY_SIMILARITY, crowd: int = CROWD) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = COPY_SHINGLE, least: float = COPY_SIMILARITY, crowd: int = COPY_CROWD) -> DataFrame:
     """doc_id and group_id (the smallest doc_id of the group) of every row:
     groups connect texts whose ``shingle``-word shingles have a Jaccard
     similarity of ``least`` or more.

@@ -161,7 +161,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 COPY_SHINGLE, COPY_SIMILARITY, COPY_RADIUS = 5, 0.8, 17
 TABLES, KEY_BITS = 48, 22
 #: More texts than this under one key are a crowd, whose pairs would grow with the square.
-COPY_CROWD = 16
+COPY_CROWD = 64
 #: Bins of the sketch that verifies a pair: its estimate of the similarity has a deviation of 0.025 at 0.8.
 BINS = 256
 

@@ -22,6 +22,7 @@ documents with frequent fingerprints dealt over many tasks.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -29,11 +30,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import bound_batches, materialize, salted_join, text_or_empty
+from ._common import bound_batches, materialize, salted_join, sampled, text_or_empty
 from .components import components
 
 RADIUS = 2
@@ -154,15 +154,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Near copies by the similarity of their word shingles: shingle size, least Jaccard similarity, widest distance of
-#: fingerprints that is looked at (a similarity of 0.8 is 9.7 bits on average, with a deviation of 2.9), and the
-#: look-up tables: TABLES sets of KEY_BITS bits, of which near copies agree on at least one with a probability of
-#: 0.73 at a similarity of 0.8, 0.99 at 0.9 and nearly 1 at 0.95.
-COPY_SHINGLE, COPY_SIMILARITY, COPY_RADIUS = 5, 0.8, 17
-TABLES, KEY_BITS = 48, 22
-#: More texts than this under one key are a crowd, whose pairs would grow with the square.
-COPY_CROWD = 64
-#: Bins of the sketch that verifies a pair: its estimate of the similarity has a deviation of 0.025 at 0.8.
+#: Near copies by the similarity of their word shingles: shingle size and least Jaccard similarity.
+COPY_SHINGLE, COPY_SIMILARITY = 5, 0.8
+#: Documents whose shingles are counted for the order of prefixes, and the most shingles listed as frequent.
+ORDER_DOCS, ORDER_LISTED = 5_000, 1 << 17
+#: Bins of a sketch: its estimate of the similarity has a deviation of 0.025 at 0.8.
 BINS = 256
 
 
@@ -195,69 +191,125 @@ def similarity(a: bytes, b: bytes) -> float:
     return float(((x == y) & either).sum() / max(1, either.sum()))
 
 
-def _sketches(shingle: int):
+def shingle_set(text: bytes, shingle: int = COPY_SHINGLE) -> np.ndarray:
+    """XXH64 of the distinct shingles, ascending; a text of fewer words is one, one of none has none."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    n = max(1, len(words) - shingle + 1)
+    starts, ends = (ends - sizes)[:n], ends[min(shingle, len(words)) - 1 :]
+    hashed = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((hashed(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, n))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two ascending sets."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
+def prefix(some: np.ndarray, least: float, listed: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, the seldom ones first (those not ``listed``,
+    then by ``times``, then by hash): two sets alike by ``least`` share one."""
+    if not len(some):
+        return some
+    level = np.zeros(len(some), np.int64)
+    if len(listed):
+        at = np.minimum(np.searchsorted(listed, some), len(listed) - 1)
+        level = np.where(listed[at] == some, times[at], 0)
+    return some[np.lexsort((some, level))][: len(some) - math.ceil(least * len(some) - 1e-9) + 1]
+
+
+def _prefixes(shingle: int, least: float, order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed, times = (np.frombuffer(x, d) for x, d in zip(order.value, (np.uint64, np.int64), strict=True))
         for batch in batches:
-            found = [sketch(t, shingle) for t in batch.column(2).to_pylist()]
-            fp = np.array([f for f, _ in found], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp, pa.int64()), pa.array([s for _, s in found], pa.binary())], ["doc_id", "mark", "fp", "sketch"])
+            sets = [shingle_set(t, shingle) for t in batch.column(2).to_pylist()]
+            keys = [prefix(x, least, listed, times).view(np.int64) for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in sets], pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "mark", "size", "keys"])
 
     return run
 
 
-def _similar(least: float):
+def _sets(shingle: int, rows: bool):
+    """mark and its set as bytes, or (``rows``) each shingle of it as a row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [similarity(x, y) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                sets = [shingle_set(t, shingle) for t in part.column(1).to_pylist()]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["key"])
+                else:
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in sets], pa.binary())], ["mark", "members"])
 
     return run
 
 
-def _table_masks() -> list[int]:
-    rng = np.random.default_rng(64)
-    return [sum(1 << int(i) for i in rng.choice(64, KEY_BITS, replace=False)) for _ in range(TABLES)]
+def _likeness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        like = [jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(like, pa.float64())], ["a", "b", "like"])
+
+
+def _frequent(rows: DataFrame, shingle: int):
+    """The shingles that several of ORDER_DOCS documents hold and their number,
+    ORDER_LISTED at most: any order of shingles is right, this one keeps the
+    texts few that share the first ones."""
+    some = sampled(rows, rows.count(), ORDER_DOCS, "doc_id", "order").select("mark", "t").mapInArrow(_sets(shingle, True), "key long")
+    counts = materialize(some.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    sizes = counts.agg(*[F.count_if(F.col("n") >= 2**i).alias(f"c{i}") for i in range(20)]).first()
+    over = next(2**i for i in range(20) if sizes[i] <= ORDER_LISTED or i == 19)
+    table = counts.where(F.col("n") >= over).toArrow()  # ORDER_LISTED rows of 16 bytes at most
+    keys, n = table.column(0).to_numpy().view(np.uint64), table.column(1).to_numpy().astype(np.int64)
+    by = np.argsort(keys)
+    return rows.sparkSession.sparkContext.broadcast((keys[by].tobytes(), n[by].tobytes()))
+
 
+def _compared(pairs: DataFrame, look: DataFrame) -> DataFrame:
+    """a, b and ``like``: the Jaccard similarity of each pair (a, b)."""
+    both = pairs.join(look.select(F.col("mark").alias("a"), F.col("members").alias("ma")), "a").join(look.select(F.col("mark").alias("b"), F.col("members").alias("mb")), "b")
+    return both.select("a", "b", "ma", "mb").mapInArrow(_likeness, "a long, b long, like double")
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = COPY_SHINGLE, least: float = COPY_SIMILARITY, crowd: int = COPY_CROWD) -> DataFrame:
+
+def _may_be(least: float) -> Column:
+    """Whether x and y, which share a shingle at ``pos`` of their prefixes, can be
+    alike by ``least`` if it is the first one they share: by their sizes, and by
+    what is left of them."""
+    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    by_size = F.least(x("size"), y("size")) >= least * F.greatest(x("size"), y("size")) - 1e-6
+    return by_size & (F.least(x("size") - x("pos"), y("size") - y("pos")) * (1 + least) >= least * (x("size") + y("size")) - 1e-6)
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = COPY_SHINGLE, least: float = COPY_SIMILARITY) -> DataFrame:
     """doc_id and group_id (the smallest doc_id of the group) of every row:
-    groups connect texts whose ``shingle``-word shingles have a Jaccard
-    similarity of ``least`` or more.
-
-    The same method with a wide radius: distinct texts meet where their
-    fingerprints agree on all bits of a table, pairs are discarded by the pivot
-    distances, then by their own distance, and survivors verified by sketches.
-    In a crowd (more than ``crowd`` texts under one key) each text meets its
-    neighbours in the order of fingerprints and the first of all, in every table
-    it crowds in another order. Texts without words are in no group but that of
-    their equals. Nulls, repeats and empty tables as in ``near_duplicates``.
+    groups connect exactly the texts whose ``shingle``-word shingles have a
+    Jaccard similarity of ``least`` or more.
+
+    Prefix filtering: with all shingles in one order, two such texts share one
+    of their first n - ceil(least * n) + 1 (n: shingles of a text). Texts meet
+    under these, pairs that cannot be alike by size and position are discarded,
+    and the others verified by their whole shingle sets. Texts without words are
+    in no group but that of their equals. Nulls, repeats and empty tables as in
+    ``near_duplicates``.
     """
     bound_batches(docs)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("mark"), text_or_empty(text_col).cast("binary").alias("t"))
-    schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), *T._parse_datatype_string("mark long, fp long, sketch binary").fields])
-    rows = materialize(rows.mapInArrow(_sketches(shingle), schema))
-    texts = materialize(rows.groupBy("mark").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")))
-    worded = texts.where(F.col("sketch") != F.lit(bytes(2 * BINS)))
-    keys = F.array(*[F.struct(F.lit(i).cast("byte").alias("table"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for i, m in enumerate(_table_masks())])
-    listed = worded.select("mark", "fp", F.explode(keys).alias("e")).select("mark", "fp", "e.table", "e.bits")
-    same = W.partitionBy("table", "bits")
-    pivots = [p.alias(f"p{i}") for i, p in enumerate(pivot_distances(F.col("fp")))]
-    met = materialize(listed.withColumn("n", F.count(F.lit(1)).over(same)).where("n > 1").select("*", *pivots))
-    width = len(pivots)
-    few = met.where(F.col("n") <= crowd)
-    x, y = few.alias("x"), few.alias("y")
-    apart = largest_difference([F.col(f"x.p{i}") for i in range(width)], [F.col(f"y.p{i}") for i in range(width)])
-    pairs = x.join(y, (F.col("x.table") == F.col("y.table")) & (F.col("x.bits") == F.col("y.bits")) & (F.col("x.mark") < F.col("y.mark")) & (apart <= COPY_RADIUS))
-    pairs = pairs.select(F.col("x.mark").alias("a"), F.col("x.fp").alias("fa"), F.col("y.mark").alias("b"), F.col("y.fp").alias("fb"))
-    order = W.partitionBy("table", "bits").orderBy(F.xxhash64("table").bitwiseXOR(F.col("fp")), "mark")
-    crowds = met.where(F.col("n") > crowd)
-    end = F.struct("mark", "fp")
-    crowds = crowds.withColumn("before", F.array(F.lag(end).over(order), F.lag(end, 2).over(order), F.first(end).over(order)))
-    crowds = crowds.select(F.col("mark").alias("a"), F.col("fp").alias("fa"), F.explode("before").alias("o")).where("o IS NOT NULL AND o.mark <> a").select(F.least("a", "o.mark").alias("a"), F.when(F.col("a") < F.col("o.mark"), F.col("fa")).otherwise(F.col("o.fp")).alias("fa"), F.greatest("a", "o.mark").alias("b"), F.when(F.col("a") < F.col("o.mark"), F.col("o.fp")).otherwise(F.col("fa")).alias("fb"))
-    near = pairs.unionByName(crowds).where(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= COPY_RADIUS).select("a", "b").distinct()
-    look = texts.select("mark", "sketch")
-    both = near.join(look.select(F.col("mark").alias("a"), F.col("sketch").alias("sa")), "a").join(look.select(F.col("mark").alias("b"), F.col("sketch").alias("sb")), "b")
-    linked = both.select("a", "b", "sa", "sb").mapInArrow(_similar(least), "a long, b long")
+    raw = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("mark"), text_or_empty(text_col).cast("binary").alias("t"))
+    schema = T.StructType([T.StructField("doc_id", raw.schema["doc_id"].dataType), *T._parse_datatype_string("mark long, size int, keys array<long>").fields])
+    rows = materialize(raw.mapInArrow(_prefixes(shingle, least, _frequent(raw, shingle)), schema))
+    texts = materialize(rows.groupBy("mark").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
+    listed = rows.dropDuplicates(["mark"]).select("mark", "size", F.posexplode("keys").alias("pos", "key"))
+    shared = listed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = materialize(listed.join(shared, "key"))
+    look = raw.select("mark", "t").join(met.select("mark").distinct(), "mark", "left_semi").dropDuplicates(["mark"])
+    look = materialize(look.mapInArrow(_sets(shingle, False), "mark long, members binary"))
+    pairs = met.alias("x").join(met.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.mark") < F.col("y.mark")) & _may_be(least))
+    pairs = pairs.select(F.col("x.mark").alias("a"), F.col("y.mark").alias("b")).distinct()
+    linked = _compared(pairs, look).where(F.col("like") >= least - 1e-9).select("a", "b")
     found = materialize(components(linked).withColumnRenamed("node", "mark"))
     names = found.join(texts.select("mark", "first"), "mark").groupBy("root").agg(F.min("first").alias("lowest"))
     grouped = found.join(names, "root").select("mark", "lowest")

@@ -2,6 +2,7 @@
 
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -79,3 +80,47 @@ def test_stages(spark, staged):
 
 def test_run_agrees(spark, staged):
     assert corpus_pipeline.run(spark, DATA).count() == staged[-1].count()
+
+
+def varied(base, rng, share, tag):
+    """``base`` with about ``share`` of its words changed, in a few runs."""
+    w = list(base)
+    for at in rng.choice(len(w) // 10, max(1, round(share * len(w))), replace=False):
+        w[at * 10] = f"{tag}{at}"
+    return " ".join(w)
+
+
+def linked_groups(sets, least=0.8):
+    """id -> smallest id of its group, all pairs compared."""
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both and both >= least * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
+
+
+def test_near_copies_at_the_threshold(spark):
+    """All pairs from 0.8 to 0.9 are found, and nothing else."""
+    rng = np.random.default_rng(8)
+    rows, sets, near = [], {}, 0
+    for i in range(250):
+        base = [f"p{i}w{j}" for j in range(100 + i)]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, varied(base, rng, 0.008 + 0.0002 * (i % 100), f"c{i}x"))]
+    for i, t in rows:
+        sets[i] = shingles(t)
+    for i in range(250):
+        a, b = sets[2 * i], sets[2 * i + 1]
+        near += 0.8 <= len(a & b) / len(a | b) < 0.9
+    assert near > 50
+    got = {r.doc_id: r.group_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == linked_groups(sets)

@@ -158,6 +158,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 COPY_SHINGLE, COPY_SIMILARITY = 5, 0.8
 #: Documents whose shingles are counted for the order of prefixes, and the most shingles listed as frequent.
 ORDER_DOCS, ORDER_LISTED = 5_000, 1 << 17
+#: More texts than this under one shingle are a crowd, compared with CROWD_ROUNDS leaders before all pairs are.
+COPY_CROWD, CROWD_ROUNDS = 64, 6
 #: Bins of a sketch: its estimate of the similarity has a deviation of 0.025 at 0.8.
 BINS = 256
 
@@ -285,7 +287,50 @@ def _may_be(least: float) -> Column:
     return by_size & (F.least(x("size") - x("pos"), y("size") - y("pos")) * (1 + least) >= least * (x("size") + y("size")) - 1e-6)
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = COPY_SHINGLE, least: float = COPY_SIMILARITY) -> DataFrame:
+def _crowds(crowds: DataFrame, linked: DataFrame, look: DataFrame, least: float, crowd: int, rounds: int) -> DataFrame:
+    """``linked`` (a, b) and the links that connect what all pairs of texts under
+    one ``key`` of ``crowds`` (key, mark, size) that are alike would.
+
+    A crowd whose texts are all in one group already is done. In the others the
+    leader, a text drawn by hash, is compared with all members. It leaves: all
+    its pairs are decided. By the triangle inequality of 1 - similarity, texts
+    within r = 1 - ``least`` of it, now of one group, can only be like those
+    within 2 r; if all these are of its group, the former leave too. What is
+    left of a crowd is compared in all pairs of different groups, once it has
+    ``crowd`` members at most or after ``rounds`` leaders.
+    """
+    reach = 1 - least
+    for turn in range(rounds + 1):
+        groups = components(linked)
+        state = crowds.join(groups.withColumnRenamed("node", "mark"), "mark", "left").select("key", "mark", "size", F.coalesce("root", "mark").alias("group"))
+        state = materialize(state)
+        drawn = F.min_by(F.struct("mark", "size", "group"), F.xxhash64("mark", F.lit(turn)))
+        open_ = materialize(state.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("group").alias("low"), F.max("group").alias("high"), drawn.alias("leader")).where("low <> high").select("key", "members", "leader"))
+        if open_.isEmpty():
+            return linked
+        state = materialize(state.join(open_, "key"))
+        last = F.col("members") <= crowd if turn < rounds else F.lit(True)
+        x, y = state.where(last).alias("x"), state.where(last).alias("y")
+        sizes = F.least(F.col("x.size"), F.col("y.size")) >= least * F.greatest(F.col("x.size"), F.col("y.size")) - 1e-6
+        every = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.mark") < F.col("y.mark")) & (F.col("x.group") != F.col("y.group")) & sizes).select(F.col("x.mark").alias("a"), F.col("y.mark").alias("b"))
+        rest = state.where(~last)
+        ratio = F.least("size", "leader.size") / F.greatest("size", "leader.size")
+        stars = rest.where((ratio >= 1 - 2 * reach - 1e-6) & (F.col("mark") != F.col("leader.mark"))).select(F.col("leader.mark").alias("a"), F.col("mark").alias("b"))
+        decided = materialize(_compared(every.unionByName(stars).distinct(), look))
+        linked = materialize(linked.unionByName(decided.where(F.col("like") >= least - 1e-9).select("a", "b")))
+        if turn == rounds:
+            return linked
+        far = decided.select(F.col("a").alias("at"), F.col("b").alias("mark"), (1 - F.col("like")).alias("far"))
+        rest = rest.where(F.col("mark") != F.col("leader.mark")).withColumn("at", F.col("leader.mark"))
+        rest = materialize(rest.join(far, ["at", "mark"], "left").withColumn("far", F.coalesce("far", F.lit(1.0))))
+        # only in crowds without a text of another group at up to twice the reach
+        edge = (F.col("far") > reach + 1e-9) & (F.col("far") <= 2 * reach + 1e-6) & (F.col("group") != F.col("leader.group"))
+        kept = rest.where(edge).select("key").distinct().withColumn("edged", F.lit(True))
+        crowds = rest.join(kept, "key", "left").where((F.col("far") > reach + 1e-9) | F.col("edged")).select("key", "mark", "size")
+    return linked
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = COPY_SHINGLE, least: float = COPY_SIMILARITY, crowd: int = COPY_CROWD, rounds: int = CROWD_ROUNDS) -> DataFrame:
     """doc_id and group_id (the smallest doc_id of the group) of every row:
     groups connect exactly the texts whose ``shingle``-word shingles have a
     Jaccard similarity of ``least`` or more.
@@ -293,9 +338,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Prefix filtering: with all shingles in one order, two such texts share one
     of their first n - ceil(least * n) + 1 (n: shingles of a text). Texts meet
     under these, pairs that cannot be alike by size and position are discarded,
-    and the others verified by their whole shingle sets. Texts without words are
-    in no group but that of their equals. Nulls, repeats and empty tables as in
-    ``near_duplicates``.
+    and the others verified by their whole shingle sets. Of more than ``crowd``
+    texts under a shingle only as many pairs are compared as it takes to connect
+    the same groups (``_crowds``). Texts without words are in no group but that
+    of their equals. Nulls, repeats and empty tables as in ``near_duplicates``.
     """
     bound_batches(docs)
     raw = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("mark"), text_or_empty(text_col).cast("binary").alias("t"))
@@ -307,9 +353,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     met = materialize(listed.join(shared, "key"))
     look = raw.select("mark", "t").join(met.select("mark").distinct(), "mark", "left_semi").dropDuplicates(["mark"])
     look = materialize(look.mapInArrow(_sets(shingle, False), "mark long, members binary"))
-    pairs = met.alias("x").join(met.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.mark") < F.col("y.mark")) & _may_be(least))
+    few = met.where(F.col("n") <= crowd)
+    pairs = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.mark") < F.col("y.mark")) & _may_be(least))
     pairs = pairs.select(F.col("x.mark").alias("a"), F.col("y.mark").alias("b")).distinct()
-    linked = _compared(pairs, look).where(F.col("like") >= least - 1e-9).select("a", "b")
+    linked = materialize(_compared(pairs, look).where(F.col("like") >= least - 1e-9).select("a", "b"))
+    linked = _crowds(met.where(F.col("n") > crowd).select("key", "mark", "size"), linked, look, least, crowd, rounds)
     found = materialize(components(linked).withColumnRenamed("node", "mark"))
     names = found.join(texts.select("mark", "first"), "mark").groupBy("root").agg(F.min("first").alias("lowest"))
     grouped = found.join(names, "root").select("mark", "lowest")

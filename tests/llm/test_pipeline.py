@@ -124,3 +124,21 @@ def test_near_copies_at_the_threshold(spark):
     assert near > 50
     got = {r.doc_id: r.group_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     assert got == linked_groups(sets)
+
+
+def test_crowd_of_near_copies(spark):
+    """Families of differing copies larger than a crowd, some beyond a leader's reach, and texts that only share a passage."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for k in range(2):
+        base = [f"f{k}w{j}" for j in range(150)]
+        for i in range(60):
+            rows.append((len(rows), varied(base, rng, 0.007 + 0.0005 * i, f"f{k}c{i}x")))
+    passage = " ".join(f"common{j}" for j in range(20))
+    rows += [(len(rows) + i, f"{passage} " + " ".join(f"own{i // 2}w{j}" for j in range(60)) + f" end{i}") for i in range(40)]
+    sets = {i: shingles(t) for i, t in rows}
+    want = linked_groups(sets)
+    assert 20 < len(set(want.values())) < len(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for rounds in (0, 2):
+        assert {r.doc_id: r.group_id for r in simhash.near_copies(df, crowd=8, rounds=rounds).collect()} == want

@@ -3,8 +3,10 @@
 import io
 import itertools
 import json
+import math
 import random
 import zipfile
+from collections import Counter
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -235,6 +237,32 @@ def test_hybrid_finds_the_same_text(spark):
     assert [r.doc_id for r in retrieval.accepted(found, q, corpus).collect()] == [0]
 
 
+def test_hybrid_counts_frequent_terms(spark):
+    """Against BM25 and cosine over all terms, for a query of frequent words alone too."""
+    texts = ["the brake shall work", "the brake of the brake", "the horn shall sound the horn", "shall the mirror", "the the the seat belt shall hold"]
+    queries = ["the brake", "the shall", "horn the mirror shall"]
+    tf = [Counter(x.split()) for x in texts]
+    n, mean = len(texts), sum(sum(c.values()) for c in tf) / len(texts)
+    df = Counter(w for c in tf for w in c)
+    idf = {w: math.log((n + 1) / (k + 1)) + 1 for w, k in df.items()}
+    norm = lambda c: math.sqrt(sum((k * idf[w]) ** 2 for w, k in c.items()))
+    want = {}
+    for i, q in enumerate(map(Counter, map(str.split, queries))):
+        both = {}
+        for j, c in enumerate(tf):
+            met = q.keys() & c.keys()
+            if met:
+                bm = sum(math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)) for w in met)
+                both[j] = bm, sum(c[w] * q[w] * idf[w] ** 2 for w in met) / norm(c) / norm(q)
+        most = [max(v[k] for v in both.values()) for k in (0, 1)]
+        score = {j: 0.15 * cos / most[1] + 0.85 * bm / most[0] for j, (bm, cos) in both.items()}
+        for rank, j in enumerate(sorted(score, key=lambda j: (-score[j], j))[:3], 1):
+            want[i, rank] = j, pytest.approx(score[j])
+    frame = lambda rows, key: spark.createDataFrame(list(enumerate(rows)), f"{key} long, text string")
+    got = retrieval.hybrid(frame(queries, "item_id"), frame(texts, "doc_id")).collect()
+    assert {(r.item_id, r.rank): (r.doc_id, r.score) for r in got} == want
+
+
 def test_progress_stream(spark, tmp_path):
     src, out = str(tmp_path / "in"), []
     events = spark.sql("SELECT 'a' AS task_id, 'text' AS kind, cast(id * 10 AS int) AS completed_ratio, timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id * 3) AS ts FROM range(8)")

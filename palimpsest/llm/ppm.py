@@ -12,10 +12,12 @@ sets nest, and each escape step depends on the longer context alone. It is
 stored with that context, so a document is scored with one table look-up per
 byte, and with a walk down the suffixes only where the longest context fails.
 
-Bounds: the trie that scoring workers get holds MAX_NODES strings at most. If
-there are more, the least power of two is found such that those counted as
-often fit; rarer ones are reached through shorter contexts, whose counts still
-include all. The word statistics of the base score are exact: the most frequent
+Bounds: the table that scoring workers get holds MAX_NODES of the longest
+strings at most, with their probabilities by the whole trie. If there are more,
+the least power of two is found such that those counted as often fit. All other
+strings of a text, seen or not, are listed and scored on the cluster, by joins
+with the counts of all strings and contexts, so that the model is the whole
+trie however large the corpus is. The word statistics of the base score are exact: the most frequent
 words, HOT_WORDS at most, are looked up in a table, all others by a join.
 """
 
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -123,7 +125,7 @@ def _counts(order: int):
 
 
 class Trie:
-    """Scoring tables of a pruned trie. ``levels[i]``: sorted (i + 1)-byte
+    """Scoring tables of a trie in one process. ``levels[i]``: sorted (i + 1)-byte
     strings and their counts; every suffix of one is there too, at least as often."""
 
     def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
@@ -221,42 +223,97 @@ class Trie:
         return out
 
 
-def grow(counts: DataFrame, order: int, max_nodes: int) -> Trie:
-    """The trie of ``string`` and ``n`` (all (order + 1)-byte strings), pruned to ``max_nodes``."""
-    longest = materialize(counts)
-    parts = [longest.select(F.lit(order).cast("byte").alias("level"), "string", "n")]
-    for i in range(order - 1, -1, -1):
-        shorter = materialize(parts[-1].groupBy(F.col("string").bitwiseAND(F.lit((1 << 8 * (i + 1)) - 1)).alias("string")).agg(F.sum("n").alias("n")))
-        parts.append(shorter.select(F.lit(i).cast("byte").alias("level"), "string", "n"))
-    nodes = parts[0]
-    for p in parts[1:]:
-        nodes = nodes.unionByName(p)
-    sizes = nodes.agg(*[F.count_if(F.col("n") >= 2**i).alias(f"c{i}") for i in range(50)]).first()
-    least = next(2**i for i in range(50) if sizes[i] <= max_nodes or i == 49)
-    table = nodes.where(F.col("n") >= least).toArrow()  # max_nodes rows of 17 bytes at most
-    level, keys, n = (table.column(i).to_numpy() for i in range(3))
-    out = []
-    for i in range(order + 1):
-        k, c = keys[level == i].view(np.uint64), n[level == i]
-        by = np.argsort(k)
-        out.append((k[by], c[by].astype(np.float64)))
-    return Trie(out)
+def _suffix(c: Column, size: int) -> Column:
+    """The last ``size`` bytes of a string."""
+    return c.bitwiseAND(F.lit((1 << 8 * size) - 1))
+
+
+def _small(table: DataFrame, level: int) -> DataFrame:
+    """Broadcast up to ``level`` 1: a row per string of two bytes at most, and few keys that all rows share."""
+    return F.broadcast(table) if level <= 1 else table
+
+
+class Nodes:
+    """The whole trie as tables. ``strings[i]``: the (i + 1)-byte strings,
+    their counts and contexts; ``contexts[i]``: of each i-byte context what
+    Trie holds of it."""
+
+    def __init__(self, counts: DataFrame, order: int):
+        self.order, self.strings, self.contexts = order, [], []
+        levels = [materialize(counts)]
+        for i in range(order - 1, -1, -1):
+            levels.append(materialize(levels[-1].groupBy(_suffix(F.col("string"), i + 1).alias("string")).agg(F.sum("n").alias("n"))))
+        for i, level in enumerate(reversed(levels)):
+            level = level.withColumn("ctx", F.shiftrightunsigned("string", 8))
+            strings = level
+            if i:
+                short = self.strings[-1].select(F.col("string").alias("end"), F.col("n").alias("short"))
+                level = level.withColumn("end", _suffix(F.col("string"), i)).join(_small(short, i - 1), "end")
+            taken = F.sum("short") if i else F.lit(0)
+            kinds = level.groupBy("ctx").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), taken.alias("taken"))
+            whole = F.log10(F.col("total") + F.col("kinds"))
+            own = [whole.alias("whole"), (F.log10("kinds") - whole).alias("top")]
+            if i:
+                up = self.contexts[-1].select(F.col("ctx").alias("end"), F.col("total").alias("t"), F.col("kinds").alias("k"))
+                kinds = kinds.withColumn("end", _suffix(F.col("ctx"), i - 1)).join(_small(up, i - 2), "end")
+                fresh = F.col("k") - F.col("kinds")
+                below = F.log10(F.greatest(F.col("t") - F.col("taken") + fresh, F.lit(1)))
+                own += [below.alias("below"), F.when(fresh > 0, F.log10(F.greatest(fresh, F.lit(1))) - below).otherwise(0.0).alias("skip")]
+            else:
+                own += [F.lit(0.0).alias("below"), F.lit(0.0).alias("skip")]
+            self.strings.append(strings)
+            self.contexts.append(materialize(kinds.select("ctx", "total", "kinds", *own)))
+        first = self.contexts[0].first()
+        self.seen = first["kinds"] if first else 0
+
+    def frequent(self, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """The longest strings by a threshold of their count, ``most`` at most, sorted, and their log10 probabilities."""
+        longest = self.strings[-1]
+        sizes = longest.agg(*[F.count_if(F.col("n") >= 2**i).alias(f"c{i}") for i in range(50)]).first()
+        least = next(2**i for i in range(50) if sizes[i] <= most or i == 49)
+        found = longest.where(F.col("n") >= least).join(self.contexts[-1].select("ctx", "whole"), "ctx")
+        table = found.select("string", (F.log10("n") - F.col("whole")).alias("p")).toArrow()  # most rows of 16 bytes at most
+        keys, p = table.column(0).to_numpy().view(np.uint64), table.column(1).to_numpy()
+        by = np.argsort(keys)
+        return keys[by], p[by]
+
+    def log10(self, some: DataFrame) -> DataFrame:
+        """``string`` and ``p``, log10 P(last byte | the bytes before it), of the distinct ``string``: Trie._walk by joins."""
+        none = F.lit(None).cast("double")
+        left, done = some.select("string", F.lit(0.0).alias("p"), none.alias("below"), none.alias("skip")), []
+        for i in range(self.order, -1, -1):
+            left = left.withColumn("ctx", _suffix(F.shiftrightunsigned("string", 8), i)).withColumn("end", _suffix(F.col("string"), i + 1))
+            here = self.contexts[i].select("ctx", "whole", "top", F.col("below").alias("b"), F.col("skip").alias("s"))
+            hits = self.strings[i].select(F.col("string").alias("end"), "n")
+            left = materialize(left.join(_small(here, i - 1), "ctx", "left").join(_small(hits, i), "end", "left"))
+            # by an escape from the longer context its symbols are excluded
+            done.append(left.where("n IS NOT NULL").select("string", (F.col("p") + F.log10("n") - F.coalesce("below", "whole")).alias("p")))
+            miss = F.col("p") + F.when(F.col("whole").isNull(), 0.0).otherwise(F.coalesce("skip", "top"))
+            left = left.where("n IS NULL").select("string", miss.alias("p"), F.col("b").alias("below"), F.col("s").alias("skip"))
+        done.append(left.select("string", F.col("p") - math.log10(max(1, 256 - self.seen))))
+        out = done[0]
+        for d in done[1:]:
+            out = out.union(d)
+        return out
 
 
 def _score(shared, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, hot = shared()
+        known_keys, known_p, hot = shared()
         sent: set[bytes] = set()
         for batch in batches:
             texts = [t.lower() for t in batch.column(1).to_pylist()]
-            score = np.zeros(len(texts))
+            score, missed = np.zeros(len(texts)), [[] for _ in texts]
             for buffer, parts in pieces(texts, order):
                 keys = strings(buffer, order)
-                logs = np.concatenate([[0.0], np.cumsum(trie.log10(keys))])
+                at = np.minimum(np.searchsorted(known_keys, keys), max(0, len(known_keys) - 1))
+                hit = known_keys[at] == keys if len(known_keys) else np.zeros(len(keys), bool)
+                logs = np.concatenate([[0.0], np.cumsum(np.where(hit, known_p[at], 0.0) if len(known_keys) else np.zeros(len(keys)))])
                 for i, a, b in parts:
                     score[i] += logs[b] - logs[a]
-            cols: list[list] = [[] for _ in range(7)]
-            for t in texts:
+                    missed[i].append(keys[a:b][~hit[a:b]])
+            cols: list[list] = [[] for _ in range(9)]
+            for t, lacking in zip(texts, missed, strict=True):
                 words = Counter(t.split())
                 mark = xxhash.xxh3_128_digest(t)
                 known, base, rare, times = 1, hot[END], [], []
@@ -271,12 +328,13 @@ def _score(shared, order: int):
                         known += n
                         base += n * v
                 if mark in sent:
-                    rare, times = [], []
+                    rare, times, lacking = [], [], []
                 sent.add(mark)
-                for c, x in zip(cols, (int.from_bytes(mark[:8], "big", signed=True), int.from_bytes(mark[8:], "big", signed=True), words.total() + 1, known, base, rare, times), strict=True):
+                rest, of = np.unique(np.concatenate(lacking), return_counts=True) if lacking else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                for c, x in zip(cols, (int.from_bytes(mark[:8], "big", signed=True), int.from_bytes(mark[8:], "big", signed=True), words.total() + 1, known, base, rare, times, rest.view(np.int64), of), strict=True):
                     c.append(x)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], pa.array(score)], ["doc_id", "m1", "m2", "n_tokens", "known", "base", "rare", "times", "score"])
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), *[pa.list_(pa.int64())] * 3]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], pa.array(score)], ["doc_id", "m1", "m2", "n_tokens", "known", "base", "rare", "times", "strings", "of", "score"])
 
     return run
 
@@ -286,8 +344,8 @@ class _Shared:
 
     _open: dict[int, tuple] = {}
 
-    def __init__(self, spark, trie: Trie, hot: dict[bytes, float]):
-        self.sent = spark.sparkContext.broadcast(pickle.dumps((trie, hot), protocol=5))
+    def __init__(self, spark, keys: np.ndarray, logs: np.ndarray, hot: dict[bytes, float]):
+        self.sent = spark.sparkContext.broadcast(pickle.dumps((keys, logs, hot), protocol=5))
         self.key = xxhash.xxh64_intdigest(self.sent.value[:4096]) ^ len(self.sent.value) ^ id(self)
 
     def __call__(self):
@@ -319,17 +377,21 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table = top.select(key.alias("key"), "n").toArrow().to_pydict()  # hot_words rows of HOT_BYTES bytes at most
     hot = {w: math.log10(n + 1) for w, n in zip(table["key"], table["n"], strict=True)}
     hot[END] = math.log10(sums["ends"] + 1)
-    trie = grow(partial.where("string IS NOT NULL").groupBy("string").agg(F.sum("n").alias("n")), order, max_nodes)
+    nodes = Nodes(partial.where("string IS NOT NULL").groupBy("string").agg(F.sum("n").alias("n")), order)
 
-    schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), *T._parse_datatype_string("m1 long, m2 long, n_tokens long, known long, base double, rare array<binary>, times array<long>, score double").fields])
-    scored = materialize(rows.select("doc_id", "t").mapInArrow(_score(_Shared(spark, trie, hot), order), schema))
+    schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), *T._parse_datatype_string("m1 long, m2 long, n_tokens long, known long, base double, rare array<binary>, times array<long>, strings array<long>, of array<long>, score double").fields])
+    scored = materialize(rows.select("doc_id", "t").mapInArrow(_score(_Shared(spark, *nodes.frequent(max_nodes), hot), order), schema))
     # copies scored by different tasks list their words each; one listing of a text counts
     rare = scored.select("m1", "m2", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("m1", "m2", F.col("w.rare").alias("word"), F.col("w.times").alias("times"))
     rare = rare.repartition("word").dropDuplicates(["word", "m1", "m2"]).join(words.where(F.col("n") > 0), "word")
     found = rare.groupBy("m1", "m2").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more"), F.sum("times").alias("more_known"))
     copies = scored.groupBy("m1", "m2").agg(F.count(F.lit(1)).alias("copies"))
-    found = materialize(copies.join(found, ["m1", "m2"], "left"))
-    out = salted_join(scored.drop("rare", "times"), found, ["m1", "m2"], "copies", scored.count(), ["doc_id"])
+    lacking = scored.select("m1", "m2", F.explode(F.arrays_zip("strings", "of")).alias("s")).select("m1", "m2", F.col("s.strings").alias("string"), F.col("s.of").alias("of"))
+    lacking = materialize(lacking.repartition("string").dropDuplicates(["string", "m1", "m2"]))
+    walked = materialize(nodes.log10(lacking.select("string").distinct()))
+    walked = lacking.join(walked, "string").groupBy("m1", "m2").agg(F.sum(F.col("of") * F.col("p")).alias("walked"))
+    found = materialize(copies.join(found, ["m1", "m2"], "left").join(walked, ["m1", "m2"], "left"))
+    out = salted_join(scored.drop("rare", "times", "strings", "of"), found, ["m1", "m2"], "copies", scored.count(), ["doc_id"])
     known_end = 1 if total else 0
     base = F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * math.log10(total + distinct + 1)
-    return out.select("doc_id", (crc_of_id("doc_id") % FOLDS == HELD_OUT).alias("held_out"), "n_tokens", (F.col("known") - (1 - known_end) + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return out.select("doc_id", (crc_of_id("doc_id") % FOLDS == HELD_OUT).alias("held_out"), "n_tokens", (F.col("known") - (1 - known_end) + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("walked", F.lit(0.0))).alias("score"))

@@ -362,6 +362,16 @@ def test_ppm(spark, rows, empty):
     assert all(r.n_known == 0 and r.train_tokens == 0 for r in nothing)
 
 
+def test_ppm_scores_by_the_whole_trie(spark, rows):
+    """The strings in memory may be few: scores are those of all counts."""
+    df = spark.createDataFrame([r[:2] for r in rows if len(r[1] or "") < 1500][:40], "doc_id long, text string").repartition(2)
+    texts = {r.doc_id: lower(r.text or "").encode() for r in df.collect()}
+    train = [t for i, t in texts.items() if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2]
+    want = dict(zip(texts, ppm_brute(train, list(texts.values()), 3), strict=True))
+    for r in ppm.score_texts(df, order=3, max_nodes=800).collect():
+        assert math.isclose(r.score, want[r.doc_id], rel_tol=1e-5)
+
+
 def test_pruned_trie_sums_to_one():
     rng = np.random.default_rng(3)
     text = bytes(rng.choice(list(b"abcd e"), 4000).astype(np.uint8))

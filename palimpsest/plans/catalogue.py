@@ -483,9 +483,15 @@ def wide_frame(spark, d):
 @query("""WITH w AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nt FROM conversations)
 SELECT conv_id, CAST(v AS INT) AS va, CAST(v + 1 AS INT) AS vb, l.text AS left_text, r.text AS right_text FROM (SELECT DISTINCT conv_id FROM conversations) c, (SELECT unnest(range(1, 8)) AS v) LEFT JOIN (SELECT conv_id AS lc, turn, max(text) AS text FROM conversations GROUP BY ALL) l ON l.lc = conv_id AND l.turn = v - 1 LEFT JOIN (SELECT conv_id AS rc, turn, max(text) AS text FROM conversations GROUP BY ALL) r ON r.rc = conv_id AND r.turn = v""")
 def wide_unpivot_pairs(spark, d):
-    wide = fx.table(spark, d, "conversations").groupBy("conv_id").pivot("turn", list(range(8))).agg(F.max("text"))
-    wide = wide.select("conv_id", *[F.col(str(i)).alias(f"v{i + 1}_text") for i in range(8)])
-    return chaining.adjacent(wide, 8, ["text"], ["conv_id"])
+    # turns past the eighth have their pairs too
+    c = fx.table(spark, d, "conversations")
+    one = c.groupBy("conv_id", "turn").agg(F.max("text").alias("text"))
+    last = F.greatest(F.coalesce(F.max("turn"), F.lit(0)), F.lit(7)).cast("int")
+    pairs = c.groupBy("conv_id").agg(last.alias("last")).select("conv_id", F.explode(F.sequence(F.lit(1), "last")).alias("va"))
+    left = one.select("conv_id", (F.col("turn") + 1).cast("int").alias("va"), F.col("text").alias("left_text"))
+    right = one.select("conv_id", F.col("turn").cast("int").alias("va"), F.col("text").alias("right_text"))
+    found = pairs.join(left, ["conv_id", "va"], "left").join(right, ["conv_id", "va"], "left")
+    return found.select("conv_id", "va", (F.col("va") + 1).alias("vb"), "left_text", "right_text")
 
 
 K_PAIRS = f"{K_CHAINS}, pr AS (SELECT document, kind, va, l.text AS lt, r.text AS rt FROM (SELECT document, kind, unnest([1, 2, 3]) AS va, unnest([v1, v2, v3]) AS lid, unnest([v2, v3, v4]) AS rid FROM ch) LEFT JOIN (SELECT doc_id, text FROM documents) l ON l.doc_id = lid LEFT JOIN (SELECT doc_id, text FROM documents) r ON r.doc_id = rid)"

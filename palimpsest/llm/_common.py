@@ -7,13 +7,16 @@ executors cost a re-read and never a recomputation of the whole lineage.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..runtime import materialize
+from ..runtime import materialize, release
 
-__all__ = ["LOWER", "UPPER", "WORD", "WS", "WS_BYTES", "ascii_lower", "bound_batches", "crc_of_id", "materialize", "running", "salted_join", "sampled", "text_or_empty"]
+__all__ = ["LOWER", "UPPER", "WORD", "WS", "WS_BYTES", "ascii_lower", "crc_of_id", "materialize", "release", "running", "salted_join", "sampled", "sliced", "text_or_empty"]
 
 #: The white space of every contract here: [\x20\x09-\x0D], as bytes and text.
 WS = " \t\n\x0b\x0c\r"
@@ -37,16 +40,18 @@ def crc_of_id(name: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary"))
 
 
-#: Rows of an Arrow batch where whole texts go to Python: the worker and the JVM hold a few batches at a time.
-BATCH_ROWS = 512
+#: Rows that a step over whole texts takes from an Arrow batch at a time.
+BATCH_ROWS = 256
+
+
+def sliced(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int = BATCH_ROWS) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` with batches of ``rows`` rows at most, whatever the session's
+    batch size is, so that a worker's memory follows the texts of so many."""
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batch.slice(lo, rows) for batch in batches for lo in range(0, batch.num_rows, rows))
 
-def bound_batches(df: DataFrame) -> None:
-    """Lowers the session's rows per Arrow batch to BATCH_ROWS, so that memory
-    follows the texts of so many documents and not of the default 10,000."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
+    return cut
 
 
 def running(rows: DataFrame, group: list[str], key: str, values: dict[str, str], ties: list[str], bits: int = 12) -> DataFrame:

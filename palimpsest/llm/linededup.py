@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import WS_BYTES, bound_batches, materialize, salted_join, text_or_empty
+from ._common import WS_BYTES, materialize, salted_join, sliced, text_or_empty
 
 
 def _keys(min_chars: int):
@@ -74,13 +74,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns named like an output column give way to it. An empty table gives
     an empty table.
     """
-    bound_batches(docs)
     keep = [c for c in (keep or [id_col]) if c not in ("n_lines", "n_dropped", "kept_text")]
     base = docs.select(*[F.col(c).alias(f"__p_k{i}") for i, c in enumerate(keep)], F.col(id_col).alias("__p_id"), text_or_empty(text_col).alias("__p_text"))
     base = base.withColumn("__p_mark", F.xxhash64("__p_text"))
     id_type = base.schema["__p_id"].dataType
     keys = base.select(F.col("__p_id").alias("id"), F.col("__p_mark").alias("mark"), F.col("__p_text").cast("binary").alias("t"))
-    lines = materialize(keys.mapInArrow(_keys(min_chars), T.StructType([T.StructField("id", id_type), *T._parse_datatype_string("mark long, hi long, lo long, at array<int>").fields])))
+    lines = materialize(keys.mapInArrow(sliced(_keys(min_chars)), T.StructType([T.StructField("id", id_type), *T._parse_datatype_string("mark long, hi long, lo long, at array<int>").fields])))
 
     found = materialize(lines.select("hi", "lo", "id").distinct().groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last")).where(F.col("n") >= min_docs))
     held = salted_join(lines, found, ["hi", "lo"], "n", lines.count(), ["id", "mark"])
@@ -89,5 +88,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = base.join(drops, F.col("__p_id").eqNullSafe(F.col("__p_did")) & (F.col("__p_mark") == F.col("__p_dmark")), "left")
     joined = joined.select(*[f"__p_k{i}" for i in range(len(keep))], F.col("__p_text").cast("binary").alias("__p_t"), "__p_drop")
     schema = T.StructType([T.StructField(f"__p_k{i}", docs.schema[c].dataType) for i, c in enumerate(keep)] + T._parse_datatype_string("n_lines long, n_dropped long, kept_text string").fields)
-    out = joined.mapInArrow(_rebuild, schema)
+    out = joined.mapInArrow(sliced(_rebuild), schema)
     return out.select(*[F.col(f"__p_k{i}").alias(c) for i, c in enumerate(keep)], "n_lines", "n_dropped", "kept_text")

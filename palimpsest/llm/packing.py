@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import bound_batches, materialize, running, text_or_empty
+from ._common import materialize, running, sliced, text_or_empty
 
 CAPACITY = 2_048
 END_ID = 1
@@ -174,10 +174,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     An empty table gives no rows. Pieces alike in every value (from repeated
     rows) are interchangeable.
     """
-    bound_batches(docs)
     source = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).cast("binary").alias("t"))
     schema = T.StructType([T.StructField("doc_id", source.schema["doc_id"].dataType), *T._parse_datatype_string("start long, length long, ids_crc32 long, doc_tokens long, k int, h long").fields])
-    pieces = materialize(source.mapInArrow(_pieces(tokenizer_path, capacity), schema))
+    pieces = materialize(source.mapInArrow(sliced(_pieces(tokenizer_path, capacity)), schema))
     ranked = running(pieces.withColumn("one", F.lit(1)), ["k"], "h", {"r": "one"}, ["doc_id", "start", "length"]).drop("one")
 
     # one row per class, of which there are under twice the root of the capacity

@@ -10,15 +10,16 @@ seen in the longer context are taken out of the shorter one's counts.
 Because a string that the trie holds has all its suffixes there too, excluded
 sets nest, and each escape step depends on the longer context alone. It is
 stored with that context, so a document is scored with one table look-up per
-byte, and with a walk down the suffixes only where the longest context fails.
+byte, and with a walk down the suffixes only where that fails.
 
 Bounds: the table that scoring workers get holds MAX_NODES of the longest
-strings at most, with their probabilities by the whole trie. If there are more,
-the least power of two is found such that those counted as often fit. All other
-strings of a text, seen or not, are listed and scored on the cluster, by joins
-with the counts of all strings and contexts, so that the model is the whole
-trie however large the corpus is. The word statistics of the base score are exact: the most frequent
-words, HOT_WORDS at most, are looked up in a table, all others by a join.
+strings at most, with their probabilities by the whole trie (24 bytes a string
+and worker). If there are more, the least power of two is found such that those
+counted as often fit. All other strings of a text, seen or not, are listed and
+scored on the cluster, by joins with the counts of all strings and contexts, so
+that the model is the whole trie however large the corpus is. The word
+statistics of the base score are exact: the most frequent words, HOT_WORDS at
+most, are looked up in a table, all others by a join.
 """
 
 from __future__ import annotations
@@ -36,10 +37,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import crc_of_id, materialize, salted_join, text_or_empty
+from ._common import crc_of_id, materialize, release, salted_join, sliced, text_or_empty
 
 FOLDS, HELD_OUT = 7, 2
 ORDER = 5
+#: Strings of MAX_ORDER + 1 bytes fit a signed 64-bit number and never meet the mark of an empty slot.
+MAX_ORDER = 6
 MAX_NODES = 2_000_000
 HOT_WORDS = 200_000
 #: Words longer than this stand in the hot table by their MD5.
@@ -124,103 +127,39 @@ def _counts(order: int):
     return run
 
 
-class Trie:
-    """Scoring tables of a trie in one process. ``levels[i]``: sorted (i + 1)-byte
-    strings and their counts; every suffix of one is there too, at least as often."""
-
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
-        self.order = len(levels) - 1
-        self.strings = [k for k, _ in levels]
-        self.logs = [np.log10(n) for _, n in levels]
-        self.contexts, self.top, self.skip, self.below, self.whole = [], [], [], [], []
-        kinds = []
-        for i, (keys, n) in enumerate(levels):
-            ctx, at = np.unique(keys >> np.uint64(8), return_inverse=True)
-            total, distinct = np.bincount(at, n), np.bincount(at)
-            self.contexts.append(ctx)
-            kinds.append((total, distinct))
-            self.whole.append(np.log10(total + distinct))
-            self.top.append(np.log10(distinct) - self.whole[i])
-            if i:
-                # the symbols of this context, counted in its suffix
-                mask = np.uint64((1 << 8 * i) - 1)
-                short_keys, short_n = levels[i - 1]
-                taken = np.bincount(at, short_n[np.searchsorted(short_keys, keys & mask)])
-                j = np.searchsorted(self.contexts[i - 1], ctx & np.uint64((1 << 8 * (i - 1)) - 1))
-                left, fresh = kinds[i - 1][0][j] - taken, kinds[i - 1][1][j] - distinct
-                below = np.log10(np.maximum(left + fresh, 1))
-                self.below.append(below)
-                self.skip.append(np.where(fresh > 0, np.log10(np.maximum(fresh, 1)) - below, 0.0))
-            else:
-                self.below.append(np.zeros(len(ctx)))
-                self.skip.append(np.zeros(len(ctx)))
-        self.seen = int(kinds[0][1][0]) if len(levels[0][0]) else 0
-        self._index(levels[-1])
-
-    def _index(self, level: tuple[np.ndarray, np.ndarray]) -> None:
-        """Open addressing over the longest strings: one probe finds most."""
-        keys, _ = level
+class Table:
+    """Open addressing over strings: one probe finds most, or finds that one is not there."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
         bits = max(4, int(2 * max(1, len(keys)) - 1).bit_length())
         self.shift = np.uint64(64 - bits)
-        self.slots, self.found = np.full(1 << bits, _EMPTY), np.zeros(1 << bits, np.float32)
-        at = np.searchsorted(self.contexts[-1], keys >> np.uint64(8))
-        value = (self.logs[-1] - self.whole[-1][at]).astype(np.float32)
-        slot, left = ((keys * _MIX) >> self.shift).astype(np.int64), np.arange(len(keys))
+        self.slots, self.values = np.full(1 << bits, _EMPTY), np.zeros(1 << bits, np.float32)
+        slot, left = self._slot(keys), np.arange(len(keys))
         while len(left):
             free = self.slots[slot[left]] == _EMPTY
             one, first = np.unique(slot[left[free]], return_index=True)
             put = left[free][first]
-            self.slots[one], self.found[one] = keys[put], value[put]
+            self.slots[one], self.values[one] = keys[put], values[put]
             left = left[self.slots[slot[left]] != keys[left]]
             slot[left] = (slot[left] + 1) & (len(self.slots) - 1)
 
-    def log10(self, keys: np.ndarray) -> np.ndarray:
-        """log10 P(last byte | the bytes before it) of (order + 1)-byte strings."""
-        out = np.zeros(len(keys))
-        slot = ((keys * _MIX) >> self.shift).astype(np.int64)
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * _MIX) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each key is there, and its value (0 if not)."""
+        slot = self._slot(keys)
         got = self.slots[slot]
         hit = got == keys
-        out[hit] = self.found[slot[hit]]
-        left = np.flatnonzero(~hit)
-        walk = []
+        out = np.where(hit, self.values[slot], np.float32(0))
+        left = np.flatnonzero(~hit & (got != _EMPTY))
         while len(left):
-            empty = self.slots[slot[left]] == _EMPTY
-            walk.append(left[empty])
-            left = left[~empty]
             slot[left] = (slot[left] + 1) & (len(self.slots) - 1)
-            same = self.slots[slot[left]] == keys[left]
-            out[left[same]] = self.found[slot[left[same]]]
-            left = left[~same]
-        if walk:
-            rest = np.concatenate(walk)
-            some, back = np.unique(keys[rest], return_inverse=True)
-            out[rest] = self._walk(some)[back]
-        return out
-
-    def _walk(self, keys: np.ndarray) -> np.ndarray:
-        out, open_, inside = np.zeros(len(keys)), np.ones(len(keys), bool), np.zeros(len(keys), bool)
-        longer = np.zeros(len(keys), np.int64)  # the context last escaped from
-        for i in range(self.order, -1, -1):
-            if not len(self.contexts[i]):
-                continue
-            at = np.flatnonzero(open_)
-            ctx = keys[at] >> np.uint64(8) & np.uint64((1 << 8 * i) - 1)
-            c = np.minimum(np.searchsorted(self.contexts[i], ctx), len(self.contexts[i]) - 1)
-            here = self.contexts[i][c] == ctx
-            at, c = at[here], c[here]
-            s = keys[at] & np.uint64((1 << 8 * (i + 1)) - 1)
-            k = np.minimum(np.searchsorted(self.strings[i], s), len(self.strings[i]) - 1)
-            hit = self.strings[i][k] == s
-            came = inside[at]  # by an escape from the longer context
-            whole = np.where(came, self.below[i + 1][np.where(came, longer[at], 0)] if i < self.order and len(self.below[i + 1]) else 0.0, self.whole[i][c])
-            out[at[hit]] += self.logs[i][k[hit]] - whole[hit]
-            open_[at[hit]] = False
-            miss = ~hit
-            skip = np.where(came, self.skip[i + 1][np.where(came, longer[at], 0)] if i < self.order and len(self.skip[i + 1]) else 0.0, self.top[i][c])
-            out[at[miss]] += skip[miss]
-            inside[at], longer[at] = True, c
-        out[open_] -= math.log10(max(1, 256 - self.seen))
-        return out
+            got = self.slots[slot[left]]
+            same = got == keys[left]
+            hit[left[same]], out[left[same]] = True, self.values[slot[left[same]]]
+            left = left[~same & (got != _EMPTY)]
+        return hit, out
 
 
 def _suffix(c: Column, size: int) -> Column:
@@ -299,16 +238,15 @@ class Nodes:
 
 def _score(shared, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known_keys, known_p, hot = shared()
+        known, hot = shared()
         sent: set[bytes] = set()
         for batch in batches:
             texts = [t.lower() for t in batch.column(1).to_pylist()]
             score, missed = np.zeros(len(texts)), [[] for _ in texts]
             for buffer, parts in pieces(texts, order):
                 keys = strings(buffer, order)
-                at = np.minimum(np.searchsorted(known_keys, keys), max(0, len(known_keys) - 1))
-                hit = known_keys[at] == keys if len(known_keys) else np.zeros(len(keys), bool)
-                logs = np.concatenate([[0.0], np.cumsum(np.where(hit, known_p[at], 0.0) if len(known_keys) else np.zeros(len(keys)))])
+                hit, p = known.find(keys)
+                logs = np.concatenate([[0.0], np.cumsum(p, dtype=np.float64)])
                 for i, a, b in parts:
                     score[i] += logs[b] - logs[a]
                     missed[i].append(keys[a:b][~hit[a:b]])
@@ -316,7 +254,7 @@ def _score(shared, order: int):
             for t, lacking in zip(texts, missed, strict=True):
                 words = Counter(t.split())
                 mark = xxhash.xxh3_128_digest(t)
-                known, base, rare, times = 1, hot[END], [], []
+                n_known, base, rare, times = 1, hot[END], [], []
                 for w, n in words.items():
                     v = hot.get(w)
                     if v is None and len(w) > HOT_BYTES:
@@ -325,13 +263,13 @@ def _score(shared, order: int):
                         rare.append(w)
                         times.append(n)
                     else:
-                        known += n
+                        n_known += n
                         base += n * v
                 if mark in sent:
                     rare, times, lacking = [], [], []
                 sent.add(mark)
                 rest, of = np.unique(np.concatenate(lacking), return_counts=True) if lacking else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-                for c, x in zip(cols, (int.from_bytes(mark[:8], "big", signed=True), int.from_bytes(mark[8:], "big", signed=True), words.total() + 1, known, base, rare, times, rest.view(np.int64), of), strict=True):
+                for c, x in zip(cols, (int.from_bytes(mark[:8], "big", signed=True), int.from_bytes(mark[8:], "big", signed=True), words.total() + 1, n_known, base, rare, times, rest.view(np.int64), of), strict=True):
                     c.append(x)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), *[pa.list_(pa.int64())] * 3]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], pa.array(score)], ["doc_id", "m1", "m2", "n_tokens", "known", "base", "rare", "times", "strings", "of", "score"])
@@ -351,7 +289,8 @@ class _Shared:
     def __call__(self):
         if self.key not in _Shared._open:
             _Shared._open.clear()
-            _Shared._open[self.key] = pickle.loads(self.sent.value)
+            keys, logs, hot = pickle.loads(self.sent.value)
+            _Shared._open[self.key] = Table(keys, logs), hot
         return _Shared._open[self.key]
 
 
@@ -363,9 +302,11 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fold's crc32. Equal texts score alike; repeated rows each get a row. Without
     training rows every byte costs log10(256) and no word is known.
     """
+    if not 0 < order <= MAX_ORDER:
+        raise ValueError(f"contexts of 1 to {MAX_ORDER} bytes, not {order}: a string and its context are one 64-bit number")
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).cast("binary").alias("t"), (crc_of_id(id_col) % FOLDS == HELD_OUT).alias("held_out"))
-    partial = materialize(rows.where("NOT held_out").select("t").mapInArrow(_counts(order), "word binary, string long, n long"))
+    partial = materialize(rows.where("NOT held_out").select("t").mapInArrow(sliced(_counts(order)), "word binary, string long, n long"))
     words = materialize(partial.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")))
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.max(F.when(F.col("word") == F.lit(END), F.col("n"))), F.lit(0)).alias("ends")).first()
     total, distinct = sums["n"], sums["v"]
@@ -380,14 +321,15 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = Nodes(partial.where("string IS NOT NULL").groupBy("string").agg(F.sum("n").alias("n")), order)
 
     schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), *T._parse_datatype_string("m1 long, m2 long, n_tokens long, known long, base double, rare array<binary>, times array<long>, strings array<long>, of array<long>, score double").fields])
-    scored = materialize(rows.select("doc_id", "t").mapInArrow(_score(_Shared(spark, *nodes.frequent(max_nodes), hot), order), schema))
+    release(partial)
+    scored = materialize(rows.select("doc_id", "t").mapInArrow(sliced(_score(_Shared(spark, *nodes.frequent(max_nodes), hot), order)), schema))
     # copies scored by different tasks list their words each; one listing of a text counts
     rare = scored.select("m1", "m2", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("m1", "m2", F.col("w.rare").alias("word"), F.col("w.times").alias("times"))
-    rare = rare.repartition("word").dropDuplicates(["word", "m1", "m2"]).join(words.where(F.col("n") > 0), "word")
+    rare = rare.dropDuplicates(["word", "m1", "m2"]).join(words.where(F.col("n") > 0), "word")
     found = rare.groupBy("m1", "m2").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more"), F.sum("times").alias("more_known"))
     copies = scored.groupBy("m1", "m2").agg(F.count(F.lit(1)).alias("copies"))
     lacking = scored.select("m1", "m2", F.explode(F.arrays_zip("strings", "of")).alias("s")).select("m1", "m2", F.col("s.strings").alias("string"), F.col("s.of").alias("of"))
-    lacking = materialize(lacking.repartition("string").dropDuplicates(["string", "m1", "m2"]))
+    lacking = materialize(lacking.dropDuplicates(["string", "m1", "m2"]))
     walked = materialize(nodes.log10(lacking.select("string").distinct()))
     walked = lacking.join(walked, "string").groupBy("m1", "m2").agg(F.sum(F.col("of") * F.col("p")).alias("walked"))
     found = materialize(copies.join(found, ["m1", "m2"], "left").join(walked, ["m1", "m2"], "left"))

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import bound_batches, materialize, salted_join, sampled, text_or_empty
+from ._common import materialize, release, salted_join, sampled, sliced, text_or_empty
 from .components import components
 
 RADIUS = 2
@@ -77,10 +77,9 @@ def _fingerprints(shingle: int):
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """doc_id and ``fp`` (the fingerprint as a signed 64-bit number) of every row; null text is empty."""
-    bound_batches(docs)
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).cast("binary").alias("t"))
     schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("fp", T.LongType())])
-    return rows.mapInArrow(_fingerprints(shingle), schema)
+    return rows.mapInArrow(sliced(_fingerprints(shingle)), schema)
 
 
 def _signed(x: int) -> int:
@@ -343,7 +342,6 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the same groups (``_crowds``). Texts without words are in no group but that
     of their equals. Nulls, repeats and empty tables as in ``near_duplicates``.
     """
-    bound_batches(docs)
     raw = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("mark"), text_or_empty(text_col).cast("binary").alias("t"))
     schema = T.StructType([T.StructField("doc_id", raw.schema["doc_id"].dataType), *T._parse_datatype_string("mark long, size int, keys array<long>").fields])
     rows = materialize(raw.mapInArrow(_prefixes(shingle, least, _frequent(raw, shingle)), schema))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import bound_batches, text_or_empty
+from ._common import sliced, text_or_empty
 
 UNIT = 192
 #: Rows of samples on a page that the writer makes, at most (so a page holds 96 KiB).
@@ -300,10 +300,9 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, media: every whole text (null: empty) as a TIFF file."""
-    bound_batches(docs)
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).cast("binary").alias("t"))
     schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), *T._parse_datatype_string("n_bytes long, media binary").fields])
-    return rows.mapInArrow(_store, schema)
+    return rows.mapInArrow(sliced(_store), schema)
 
 
 PAGE = "page int, width int, height int, channels int, compression string, predictor int, layout string, samples binary, error string"

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import bound_batches, crc_of_id, sampled, text_or_empty
+from ._common import crc_of_id, sampled, sliced, text_or_empty
 
 FOLDS = 5
 #: Labelled documents of each class that training takes at most.
@@ -151,13 +151,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     """A model of ``docs`` with a label outside ``fold``. Null labels and ids
     take no part; of several labels of an id the largest counts. Without
     documents of both classes the scores are the classes' share."""
-    bound_batches(docs)
     known = labels.where((crc_of_id() % FOLDS != fold) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     picked = [sampled(known.where(F.col("toxic") == y), sizes.get(y, 0), sample, "doc_id", "sample") for y in (0, 1)]
     picked = picked[0].unionByName(picked[1]).withColumn("h", F.xxhash64(F.col("doc_id").cast("string")))
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).cast("binary").alias("t")).join(F.broadcast(picked), "doc_id")
-    coded = rows.select("toxic", "h", "t").mapInArrow(_encode, "toxic int, h long, words array<binary>, bag array<array<int>>").toArrow().to_pylist()
+    coded = rows.select("toxic", "h", "t").mapInArrow(sliced(_encode), "toxic int, h long, words array<binary>, bag array<array<int>>").toArrow().to_pylist()
     coded.sort(key=lambda r: (r["h"], r["words"], r["bag"]))
     if len({r["toxic"] for r in coded}) < 2:
         p = min(max(sizes.get(1, 0) / max(1, sum(sizes.values())), 1e-4), 1 - 1e-4)
@@ -203,9 +202,8 @@ def score_documents(docs: DataFrame, model: Model, keep: list[str], text_col: st
     """``keep``, then score, predicted, and the worst sentence: its score and
     its first and last byte in the UTF-8 text. Every row is scored, null text as
     empty; columns in ``keep`` named like an output give way."""
-    bound_batches(docs)
     keep = [c for c in keep if c not in ("score", "predicted", "worst_score", "worst_start", "worst_end")]
     rows = docs.select(*keep, text_or_empty(text_col).cast("binary").alias("__p_text"))
     fields = [docs.schema[c] for c in keep] + T._parse_datatype_string("score double, worst_score double, worst_start long, worst_end long").fields
-    out = rows.mapInArrow(_scored(model), T.StructType(fields))
+    out = rows.mapInArrow(sliced(_scored(model)), T.StructType(fields))
     return out.select(*keep, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "worst_score", "worst_start", "worst_end")

@@ -372,18 +372,31 @@ def test_ppm_scores_by_the_whole_trie(spark, rows):
         assert math.isclose(r.score, want[r.doc_id], rel_tol=1e-5)
 
 
-def test_pruned_trie_sums_to_one():
+def test_table_finds_what_it_holds():
     rng = np.random.default_rng(3)
-    text = bytes(rng.choice(list(b"abcd e"), 4000).astype(np.uint8))
-    levels = []
-    keys = ppm.strings(next(ppm.pieces([text], 2))[0], 2)[2:]
-    for i in range(3):
-        k, n = np.unique(keys & np.uint64((1 << 8 * (i + 1)) - 1), return_counts=True)
-        levels.append((k[n >= 20], n[n >= 20].astype(float)))
-    trie = ppm.Trie(levels)
-    for ctx in (b"ab", b"zz", b"az", b"\xff\xff"):
-        at = np.uint64(int.from_bytes(ctx, "big") << 8) | np.arange(256, dtype=np.uint64)
-        assert math.isclose((10 ** trie.log10(at)).sum(), 1, rel_tol=1e-5)
+    keys = np.unique(rng.integers(0, 1 << 56, 5000, dtype=np.uint64))
+    table = ppm.Table(keys[::2], np.arange(len(keys[::2])) + 1.0)
+    hit, value = table.find(keys)
+    assert hit.tolist() == [i % 2 == 0 for i in range(len(keys))] and value[::2].tolist() == list(range(1, len(keys[::2]) + 1)) and not value[1::2].any()
+    assert not ppm.Table(keys[:0], np.zeros(0)).find(keys)[0].any()
+
+
+def test_ppm_of_a_text_over_a_piece(spark):
+    """Order 5, and a text that is counted and scored in several pieces."""
+    rng = np.random.default_rng(4)
+    long = "".join(rng.choice(list("abc de\n"), 9000))
+    some = [(i, t) for i, t in enumerate([long, "abc de", "", "zz top", "abcde" * 30, long[:700], "a" * 300, "caffe\u0301"])]
+    texts = [t.encode() for _, t in some]
+    train = [t for (i, _), t in zip(some, texts, strict=True) if zlib.crc32(str(i).encode()) % 7 != 2]
+    assert len(train) < len(texts)
+    pieces = [(len(b), parts) for b, parts in ppm.pieces([b"x" * (3 * ppm.PIECE)], 5)]
+    assert len(pieces) == 4 and sum(b - a for _, p in pieces for _, a, b in p) == 3 * ppm.PIECE + 1
+    for nodes in (100, 1_000_000):
+        got = {r.doc_id: r.score for r in ppm.score_texts(spark.createDataFrame(some, "doc_id long, text string"), max_nodes=nodes).collect()}
+        for (i, _), want in zip(some, ppm_brute(train, texts, 5), strict=True):
+            assert math.isclose(got[i], want, rel_tol=1e-5, abs_tol=1e-6)
+    with pytest.raises(ValueError):
+        ppm.score_texts(spark.createDataFrame(some, "doc_id long, text string"), order=7)
 
 
 def test_knn(spark):

@@ -31,6 +31,12 @@ WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_
 PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES = 284, 317, 322, 323, 324, 325
 FIELD = {1: "B", 2: "c", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i"}
 
+#: Bytes of a page that is read, at most, and bytes that a stored byte of each compression can stand for.
+MAX_PAGE = 1 << 28
+MOST_PER_BYTE = {NONE: 1, PACKBITS: 64, LZW: 2_800, DEFLATE: 1_040, OLD_DEFLATE: 1_040}
+#: Samples that a batch of pages holds about.
+BATCH_BYTES = 1 << 22
+
 _RUN = re.compile(rb"(.)\1{2,127}", re.DOTALL)
 
 
@@ -221,7 +227,7 @@ def read_tiff(data: bytes) -> Iterator[dict]:
     """The pages of a file: page, width, height, channels, compression,
     predictor, layout ('strips' or 'tiles'), samples (bytes in row order).
     8-bit samples, chunky; either byte order; directories may lie anywhere but
-    are not followed twice."""
+    are not followed twice. Whatever is wrong with a file is a TiffError."""
     order = {b"II": "<", b"MM": ">"}.get(bytes(data[:2]))
     if order is None or len(data) < 8 or struct.unpack_from(order + "H", data, 2)[0] != 42:
         raise TiffError("no TIFF header")
@@ -234,15 +240,20 @@ def read_tiff(data: bytes) -> Iterator[dict]:
             for i in range(n):
                 t, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * i)
                 if kind in FIELD:
+                    if count > len(data):
+                        raise TiffError(f"field {t} has {count} values in a file of {len(data)} bytes")
                     form = f"{order}{count}{FIELD[kind]}"
                     where = at + 10 + 12 * i
                     if struct.calcsize(form) > 4:
                         where = struct.unpack_from(order + "I", data, where)[0]
                     tags[t] = struct.unpack_from(form, data, where)
             following = struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
-            yield _page(data, tags, len(seen) - 1)
-        except (struct.error, KeyError, IndexError) as e:
+            page = _page(data, tags, len(seen) - 1)
+        except TiffError:
+            raise
+        except (struct.error, LookupError, ValueError, ArithmeticError, MemoryError) as e:
             raise TiffError(f"a directory is broken: {e!r}") from e
+        yield page
         at = following
 
 
@@ -256,8 +267,18 @@ def _page(data: bytes, tags: dict[int, tuple], number: int) -> dict:
         wide, high, offsets, sizes = tags[TILE_WIDTH][0], tags[TILE_HEIGHT][0], tags[TILE_OFFSETS], tags[TILE_BYTES]
     else:
         wide, high, offsets, sizes = cols, min(rows, tags.get(ROWS_PER_STRIP, (rows,))[0]), tags[STRIP_OFFSETS], tags[STRIP_BYTES]
+    if min(cols, rows, depth, wide, high) < 1:
+        raise TiffError(f"a page of {cols} x {rows} x {depth} in parts of {wide} x {high}")
+    across, down = -(-cols // wide), -(-rows // high)
+    if not len(offsets) == len(sizes) == across * down:
+        raise TiffError(f"{len(offsets)} offsets and {len(sizes)} sizes for {across * down} strips or tiles")
+    if any(o < 0 or n < 0 or o + n > len(data) for o, n in zip(offsets, sizes, strict=True)):
+        raise TiffError("a strip or tile lies outside the file")
+    # what the parts can hold, before anything of the page's size is made
+    whole = (across * wide if tiled else cols) * (down * high if tiled else rows) * depth
+    if whole > MAX_PAGE or whole > MOST_PER_BYTE[how] * (sum(sizes) + 1):
+        raise TiffError(f"{sum(sizes)} stored bytes are no page of {whole}")
     image = np.zeros((rows, cols, depth), np.uint8)
-    across = -(-cols // wide)
     for i, (o, n) in enumerate(zip(offsets, sizes, strict=True)):
         y, x = i // across * high, i % across * wide
         part_rows = high if tiled else min(high, rows - y)
@@ -309,24 +330,27 @@ PAGE = "page int, width int, height int, channels int, compression string, predi
 _NO_PAGE = dict.fromkeys(("page", "width", "height", "channels", "compression", "predictor", "layout", "samples"))
 
 
-def _read_all(data: bytes | None) -> list[dict]:
-    pages: list[dict] = []
+def _read_all(data: bytes | None) -> Iterator[dict]:
     if data is None:
-        return pages
+        return
+    number = 0
     try:
         for p in read_tiff(data):
-            pages.append({**p, "error": None})
+            number += 1
+            yield {**p, "error": None}
     except TiffError as e:
-        pages.append({**_NO_PAGE, "page": len(pages), "error": str(e)})
-    return pages
+        yield {**_NO_PAGE, "page": number, "error": str(e)}
 
 
 def tiff_pages(files: DataFrame, media_col: str = "media") -> DataFrame:
     """One row per page, with the columns of ``files`` (but ``media_col``) and
-    PAGE; input columns named like one of these give way.
+    PAGE; input columns named like one of these give way. Pages of a file follow
+    each other in its order.
 
     A null file has no rows. A broken file gives the pages before the fault and
-    one row whose ``error`` says what it is; repeated files are read each.
+    one row whose ``error`` says what it is, and never stops the others; a page
+    of more than MAX_PAGE bytes, or of more than its stored bytes can hold, is a
+    fault found before it is unpacked. Repeated files are read each.
     """
     fields = T._parse_datatype_string(PAGE).fields
     own = {f.name for f in fields}
@@ -334,50 +358,86 @@ def tiff_pages(files: DataFrame, media_col: str = "media") -> DataFrame:
     rows = files.select(*keep, F.col(media_col).cast("binary").alias("__p_media"))
     kinds = pa.schema([("page", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("channels", pa.int32()), ("compression", pa.string()), ("predictor", pa.int32()), ("layout", pa.string()), ("samples", pa.binary()), ("error", pa.string())])
 
+    def made(few: pa.RecordBatch, at: list[int], pages: list[dict]) -> pa.RecordBatch:
+        kept = few.select(few.schema.names[:-1]).take(pa.array(at, pa.int64()))
+        new = pa.RecordBatch.from_pylist(pages, schema=kinds)
+        return pa.RecordBatch.from_arrays([*kept.columns, *new.columns], [*kept.schema.names, *kinds.names])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):  # pages of a few files at a time
-                few = batch.slice(lo, 256)
-                at, pages = [], []
-                for i, data in enumerate(few.column(few.num_columns - 1).to_pylist()):
-                    for p in _read_all(data):
-                        at.append(i)
-                        pages.append(p)
-                kept = few.select(few.schema.names[:-1]).take(pa.array(at, pa.int64()))
-                made = pa.RecordBatch.from_pylist(pages, schema=kinds)
-                yield pa.RecordBatch.from_arrays([*kept.columns, *made.columns], [*kept.schema.names, *kinds.names])
+        for few in batches:
+            at, pages, held = [], [], 0
+            for i in range(few.num_rows):
+                for p in _read_all(few.column(few.num_columns - 1)[i].as_py()):
+                    at.append(i)
+                    pages.append(p)
+                    held += len(p["samples"] or b"")
+                    if held > BATCH_BYTES:
+                        yield made(few, at, pages)
+                        at, pages, held = [], [], 0
+            yield made(few, at, pages)
 
-    return rows.mapInArrow(run, T.StructType([*[files.schema[c] for c in keep], *fields]))
+    return rows.mapInArrow(sliced(run), T.StructType([*[files.schema[c] for c in keep], *fields]))
 
 
 DIGEST = "doc_id {id}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pages int"
 
 
+class _Payload:
+    """What is known of a file's samples after some of its pages."""
+
+    def __init__(self, first: tuple):
+        self.first, self.digest, self.size, self.tail, self.hist, self.ways, self.pages = first, hashlib.sha256(), 0, b"", np.zeros(256, np.int64), set(), 0
+
+    def add(self, samples: bytes, way: str) -> None:
+        self.digest.update(samples)
+        self.size += len(samples)
+        self.tail = (self.tail + samples)[-16:]
+        self.hist += np.bincount(np.frombuffer(samples, np.uint8), minlength=256)
+        self.ways.add(way)
+        self.pages += 1
+
+    def row(self) -> tuple:
+        v = np.arange(256)
+        mean = int((self.hist * v).sum()) / self.size
+        dev = max(0.0, int((self.hist * v * v).sum()) / self.size - mean * mean) ** 0.5
+        share = self.hist[self.hist > 0] / self.size
+        feature = f"mean={mean:.6f};std={dev:.6f};entropy={-(share * np.log2(share)).sum():.6f};distinct={len(share)};pages={self.pages};stored={'+'.join(sorted(self.ways))}"
+        i, n, media_bytes, media_sha256 = self.first
+        return i, n, self.size, self.digest.hexdigest(), zlib.crc32(self.tail), media_bytes, media_sha256, feature, self.pages
+
+
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of pages, those of a file one after the other, to a row per file."""
+    kinds: list = []
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pages"]
+
+    def made(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    last, open_ = None, None
     for batch in batches:
-        out = []
-        for i, n, media in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            digest, size, tail, hist, ways, number = hashlib.sha256(), 0, b"", np.zeros(256, np.int64), set(), 0
-            for p in read_tiff(media):
-                s = p["samples"]
-                digest.update(s)
-                size += len(s)
-                tail = (tail + s)[-16:]
-                hist += np.bincount(np.frombuffer(s, np.uint8), minlength=256)
-                ways.add(f"{p['compression']}/{p['layout']}/{p['predictor']}")
-                number += 1
-            v = np.arange(256)
-            mean = int((hist * v).sum()) / size
-            dev = max(0.0, int((hist * v * v).sum()) / size - mean * mean) ** 0.5
-            share = hist[hist > 0] / size
-            feature = f"mean={mean:.6f};std={dev:.6f};entropy={-(share * np.log2(share)).sum():.6f};distinct={len(share)};pages={number};stored={'+'.join(sorted(ways))}"
-            out.append((i, n, size, digest.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), feature, number))
-        cols = list(zip(*out, strict=True)) or [()] * 9
         kinds = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pages"])
+        out = []
+        for i, n, size, sha, file, page, how, predictor, layout, samples, error in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if error:
+                raise TiffError(f"page {page} of {i!r} does not read back: {error}")
+            if file != last:
+                if open_:
+                    out.append(open_.row())
+                last, open_ = file, _Payload((i, n, size, sha))
+            open_.add(samples, f"{how}/{layout}/{predictor}")
+        if out:
+            yield made(out)
+    if open_:
+        yield made([open_.row()])
 
 
 def digest_media(stored: DataFrame) -> DataFrame:
-    """The digest of each stored file, from its pages as ``read_tiff`` gives
-    them: the payload's size and hashes, and the statistics of its samples."""
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(_digest, DIGEST.format(id=stored.schema["doc_id"].dataType.simpleString()))
+    """The digest of each stored file (doc_id, n_bytes, media), from its rows of
+    ``tiff_pages``: the payload's size and hashes, and the statistics of its
+    samples. The pages of a file follow each other within its partition, so
+    they are put together without a shuffle. A file that doesn't read back
+    stops the job."""
+    named = stored.select("doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), F.monotonically_increasing_id().alias("file"), "media")
+    pages = tiff_pages(named).select("doc_id", "n_bytes", "media_bytes", "media_sha256", "file", "page", "compression", "predictor", "layout", "samples", "error")
+    return pages.mapInArrow(_digest, DIGEST.format(id=stored.schema["doc_id"].dataType.simpleString()))

@@ -133,14 +133,26 @@ def test_mixing(docs, rows, empty):
 
 
 def test_schedule_is_even(spark):
-    targets = spark.createDataFrame([(1, 600.0), (2, 300.0), (3, 100.0)], "pos int, target double")
-    slots = mixing.slots_of(targets, 8).orderBy("time").collect()
-    assert sorted(r.time for r in slots) == list(range(256))
+    targets = spark.createDataFrame([(1, 600.0, 600), (2, 300.0, 300), (3, 100.0, 100)], "pos int, target double, goal long")
+    slots = mixing.slots_of(targets, 8, 4).orderBy("time").collect()
+    assert Counter(r.pos for r in slots) == {1: 150, 2: 75, 3: 25} and len({r.time for r in slots}) >= 248
     for upto in (16, 64, 200):
         n = Counter(r.pos for r in slots[:upto])
         assert all(abs(n[p] - upto * share) < 4 for p, share in ((1, 0.6), (2, 0.3), (3, 0.1)))
 
 
+def test_mix_comes_from_its_schedule(spark, docs, rows):
+    """Fewer slots take fewer words, other times give another order."""
+    got = mixing.mix_sources(docs).collect()
+    half = mixing.mix_sources(docs, schedule=lambda t, b, n: mixing.slots_of(t, b, n).where("k % 2 = 0")).collect()
+    late = mixing.mix_sources(docs, schedule=lambda t, b, n: mixing.slots_of(t, b, n).withColumn("time", 5000 - mixing.F.col("time"))).collect()
+    total = sum(r.taken for r in got)
+    assert 0.4 * total < sum(r.taken for r in half) < 0.6 * total
+    order = lambda some: [r.doc_id for r in sorted((r for r in some if r.taken), key=lambda r: (r.first_slot, str(r.doc_id)))]
+    assert order(got) != order(late) and sorted(map(str, order(got))) == sorted(map(str, order(late)))
+    assert all((r.again_slot is None) or r.taken > r.size for r in got)
+
+
 def test_urls(spark):
     urls = ["http://a.Example.ORG/es/1?x", "https://example.org/en/1", "https://notexample.org/en/12", "http://org", "http://org/", "http://x.com/fr/#a", "http://com/de/a", "http://x.com/DE/a", "nothing", None, "", "a://b://c/d", "http://example.org./es/", "http://x.com?/fr/", "http://u@x.org:80/\n/a", "http://example.org/es/", "HTTP://EXAMPLE.org/en/1a/b"] * 2
     pages = spark.createDataFrame([(i if i % 5 else None, u, "x") for i, u in enumerate(urls)], "page_id long, url string, rule string")
@@ -303,6 +315,48 @@ def test_broken_files(spark):
     assert tiff.tiff_pages(files).columns.count("page") == 1
 
 
+def tiff_of(fields, chunk=b"x" * 64):
+    return tiff.write_tiff([(fields, [chunk])])
+
+
+def test_odd_files_are_error_rows(spark):
+    """Zero and huge dimensions, counts that differ, cut and wrong streams, loops."""
+    page = {tiff.WIDTH: (4, [8]), tiff.HEIGHT: (4, [8]), tiff.BITS: (3, [8]), tiff.COMPRESSION: (3, [1]), tiff.SAMPLES: (3, [1]), tiff.ROWS_PER_STRIP: (4, [8]), tiff.STRIP_BYTES: (4, [64])}
+    tile = {k: v for k, v in page.items() if k not in (tiff.ROWS_PER_STRIP, tiff.STRIP_BYTES)} | {tiff.TILE_WIDTH: (4, [8]), tiff.TILE_HEIGHT: (4, [8]), tiff.TILE_BYTES: (4, [64])}
+    fields = lambda d, **over: [(t, *over.get(str(t), v)) for t, v in d.items() if over.get(str(t), v)]
+    case = lambda d, tag, kind, values, **more: tiff_of(fields(d, **{str(tag): (kind, values)}), **more)
+    bad = [case(page, tiff.WIDTH, 4, [0]), case(page, tiff.HEIGHT, 4, [0]), case(page, tiff.WIDTH, 4, [4_000_000_000]), tiff_of(fields(page, **{str(tiff.WIDTH): (4, [4_000_000_000]), str(tiff.HEIGHT): (4, [4_000_000_000])}))]
+    bad += [case(page, tiff.STRIP_BYTES, 4, []), case(page, tiff.STRIP_BYTES, 4, [32, 32]), case(page, tiff.STRIP_BYTES, 4, [63]), case(page, tiff.ROWS_PER_STRIP, 4, [0]), case(page, tiff.SAMPLES, 3, [0]), case(page, tiff.BITS, 3, [16])]
+    bad += [case(tile, tiff.TILE_WIDTH, 4, [0]), case(tile, tiff.TILE_HEIGHT, 4, [0]), case(tile, tiff.TILE_WIDTH, 4, [1 << 31]), case(page, tiff.STRIP_BYTES, 4, [1 << 31])]
+    for how, raw in ((tiff.LZW, tiff.lzw(bytes(range(64)))), (tiff.DEFLATE, zlib.compress(bytes(range(64)))), (tiff.PACKBITS, tiff.packbits(bytes(range(64))))):
+        whole = fields(page, **{str(tiff.COMPRESSION): (3, [how]), str(tiff.STRIP_BYTES): (4, [len(raw)])})
+        assert [p["samples"] for p in tiff.read_tiff(tiff_of(whole, raw))] == [bytes(range(64))]
+        cut = raw[: len(raw) // 2]
+        bad.append(tiff_of(fields(page, **{str(tiff.COMPRESSION): (3, [how]), str(tiff.STRIP_BYTES): (4, [len(cut)])}), cut))
+        bad.append(tiff_of(fields(page, **{str(tiff.COMPRESSION): (3, [how])}), b"\x80" * 64))
+        bad.append(tiff_of(fields(page, **{str(tiff.COMPRESSION): (3, [how]), str(tiff.WIDTH): (4, [1 << 20]), str(tiff.HEIGHT): (4, [1 << 12]), str(tiff.STRIP_BYTES): (4, [len(raw)])}), raw))
+    good = tiff_of(fields(page))
+    loop = bytearray(good)
+    loop[-4:] = loop[4:8]  # the directory follows itself
+    beyond = bytearray(good)
+    beyond[-4:] = b"\xff\xff\xff\x7f"
+    files = [*bad, good, bytes(loop), bytes(beyond), good[:20], b"MM\0*" + b"\xff" * 40]
+    got = tiff.tiff_pages(spark.createDataFrame(list(enumerate(files)), "id int, media binary")).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r.id].append(r)
+    n = len(bad)
+    assert all([p.error is None for p in by[i]] == [False] for i in range(n))
+    assert [[p.error is None for p in by[i]] for i in range(n, n + 5)] == [[True], [True], [True, False], [False], [False]]
+    rng = np.random.default_rng(6)
+    whole = tiff.store_payload(bytes(rng.integers(0, 256, 192 * 40, np.uint8)))
+    for _ in range(400):  # any byte may be wrong
+        broken = bytearray(whole)
+        for at in rng.integers(0, len(broken), 3):
+            broken[at] = int(rng.integers(0, 256))
+        assert all(p["error"] is None or isinstance(p["error"], str) for p in tiff._read_all(bytes(broken[-300:] if rng.random() < 0.1 else broken)))
+
+
 def ppm_brute(train, texts, order):
     """Method C with exclusion, straight from its definition."""
     n = defaultdict(Counter)

@@ -59,7 +59,8 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tokened(spark: SparkSession, d: str) -> DataFrame:
-    return features.with_tokens(docs(spark, d))
+    """Normalised once, whatever is joined with what after it."""
+    return materialize(features.with_tokens(docs(spark, d)))
 
 
 # ---- normalisation and lines
@@ -95,13 +96,13 @@ def line_source_clean(spark, d):
 
 @query(f"SELECT doc_id, md5({t.sql_content('text')}) AS content_md5, length({t.sql_content('text')}) AS n FROM documents")
 def content_normalize(spark, d):
-    c = fx.table(spark, d, "documents").select("doc_id", t.content(F.col("text")).alias("c"))
+    c = fx.spread(fx.table(spark, d, "documents").select("doc_id", "text")).select("doc_id", t.content(F.col("text")).alias("c"))
     return c.select("doc_id", F.md5(F.col("c").cast("binary")).alias("content_md5"), F.length("c").cast("long").alias("n"))
 
 
 @query()
 def match_normalize(spark, d):
-    return fx.table(spark, d, "documents").select("doc_id", t.normal(t.unfold(F.col("text"))).alias("normal"))
+    return fx.spread(fx.table(spark, d, "documents").select("doc_id", "text")).select("doc_id", t.normal(t.unfold(F.col("text"))).alias("normal"))
 
 
 @query(f"SELECT page_id, md5(trim({t.sql_steps('html', [*t.TAGS, (r'\s+', ' ')])})) AS text_md5 FROM pages")

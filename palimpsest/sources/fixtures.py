@@ -16,8 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Dealt out over all cores if its files are too few or too small to be split:
+    for rows with much work each. Large tables are left as they are read."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * n) if df.rdd.getNumPartitions() < n else df
+
+
 def documents(spark: SparkSession, sf_dir: str, versions: int = 2) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")).where("text IS NOT NULL")
     return d.select("doc_id", F.expr(f"doc_id div {SPAN}").alias("document"), (1 + F.expr("doc_id div 20") % versions).cast("int").alias("version"), F.when(F.col("text").contains("|"), "table").otherwise("text").alias("kind"), F.expr("doc_id div 40").alias("page_idx"), F.col("source").alias("parent"), F.col("doc_id").alias("ord"), "text", "lang")
 
 

@@ -22,6 +22,21 @@ def pipe_rows(text: Column) -> Column:
     return F.filter(cells, lambda r: F.exists(r, lambda c: (c != "") & ~c.rlike(r"^[\s:-]+$")))
 
 
+def is_markdown_table(text: Column) -> Column:
+    """The first filled line starts with a pipe and the second has a rule."""
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return (F.size(lines) >= 2) & F.coalesce(F.get(lines, 0), F.lit("")).startswith("|") & F.coalesce(F.get(lines, 1), F.lit("")).contains("---")
+
+
+def table_like(text: Column) -> Column:
+    """An HTML table, a rule of dashes, colons and pipes as second line beside a
+    pipe anywhere, or a pipe in the first filled line."""
+    t = F.trim(F.coalesce(text, F.lit("")))
+    lines = F.filter(F.split(t, r"\r?\n"), lambda x: F.trim(x) != "")
+    ruled = (F.size(lines) >= 2) & F.coalesce(F.get(lines, 1), F.lit("")).rlike(r"^\s*[:\-\s|]+\s*$")
+    return t.rlike(r"(?i)<table\b") | (t.contains("|") & (ruled | F.coalesce(F.get(lines, 0), F.lit("")).contains("|")))
+
+
 def html_rows(html: Column) -> Column:
     """The same of an HTML table with plain tr, td and th, by patterns."""
     rows = F.regexp_extract_all(html, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), 1)

@@ -121,6 +121,28 @@ def lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
+def lineified(text: Column) -> Column:
+    """The lines of recognised text. Without line breaks, the first of these that
+    gives two parts or more: label and number pairs, parts between wide spaces,
+    between dashes or semicolons, between pipes; else the whole."""
+    s = F.trim(F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), r"(?i)```+[\w-]*", " "), r"(?i)\bmarkdown\b", " "))
+    parts = lambda pattern: F.filter(F.transform(F.split(s, pattern), lambda x: F.trim(x)), lambda x: x != "")
+    several = lambda found: F.when(F.size(found) >= 2, found)
+    pair = r"([A-Za-z&/ \-]{2,60}?)\s*:?\s*([0-9]{1,4}%?)"
+    label, number = (F.regexp_extract_all(s, F.lit(pair), i) for i in (1, 2))
+    both = F.filter(F.zip_with(label, number, lambda a, b: F.when(F.trim(a) != "", F.concat(F.trim(a), F.lit(": "), b))), lambda x: x.isNotNull())
+    pairs = F.when((F.size(label) >= 2) & (F.size(both) > 0), both)
+    found = F.when(s.contains("\n"), parts(r"\r?\n")).otherwise(F.coalesce(pairs, several(parts(r"\s{2,}")), several(parts(r" - |;")), several(parts(r"\|")), F.array(s)))
+    return F.when(F.trim(F.coalesce(text, F.lit(""))) == "", F.array().cast("array<string>")).otherwise(found)
+
+
+def line_set_jaccard(a: Column, b: Column, key) -> Column:
+    """Jaccard similarity of two arrays of lines by ``key`` of each; 0 without any."""
+    keyed = lambda x: F.array_distinct(F.filter(F.transform(F.coalesce(x, F.array().cast("array<string>")), key), lambda k: k != ""))
+    x, y = keyed(a), keyed(b)
+    return F.size(F.array_intersect(x, y)) / F.greatest(F.size(F.array_union(x, y)), F.lit(1))
+
+
 def atoms(text: Column) -> Column:
     """Per line the codes in it and their ordered pairs, lower-cased, sorted."""
 

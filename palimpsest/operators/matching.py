@@ -143,22 +143,55 @@ def summary(older: DataFrame, newer: DataFrame, matched: DataFrame, near_: DataF
     return rows.groupBy("kind").agg(*[F.count_if(F.col("what") == w).alias(w) for w in ("source", "revision", "matched", "near")])
 
 
-def match_text(artifacts: DataFrame, key: str = "id", older: int = 1) -> DataFrame:
+#: A block's id among those of two versions, which may use the same ids.
+NODE = "__p_node"
+
+
+def _nodes(artifacts: DataFrame, kind: str, older: int, key: str) -> DataFrame:
+    wanted = artifacts.where((F.col("kind") == kind) & F.col("version").between(older, older + 1))
+    return wanted.withColumn(NODE, F.concat_ws(":", "version", key))
+
+
+def _named(pairs: DataFrame, key: str) -> DataFrame:
+    """a and b by the ids of the blocks."""
+    return pairs.withColumn("a", F.col(f"x.{key}")).withColumn("b", F.col(f"y.{key}")).drop("x", "y")
+
+
+def match_text(artifacts: DataFrame, key: str = "id", older: int = 1, kind: str = "text") -> DataFrame:
     """The whole text path for one pair of versions in every document:
     features, candidates, scores, assignment, guards. document, kind, a, b,
-    score, accepted and the signals."""
+    score, accepted and the signals. Blocks of another ``kind`` with text, as
+    images with what is written on them, go the same way."""
     from . import blocking, features, scoring
 
     by = blocking.BY
-    wanted = artifacts.where((F.col("kind") == "text") & F.col("version").between(older, older + 1))
+    wanted = _nodes(artifacts, kind, older, key)
     parts = features.with_tokens(wanted, unfold=True)
     parts = features.without_stopwords(parts, features.stopwords(parts, by), by)
-    full = materialize(features.with_features(parts, by, key))
+    full = materialize(features.with_features(parts, by, NODE))
     a, b = blocking.sides(full, older)
-    found = materialize(blocking.shortlist(a, b, key, found=blocking.candidates(a, b, key)))
-    scored = materialize(scoring.text_scores(found, full, by, key))
+    found = materialize(blocking.shortlist(a, b, NODE, found=blocking.candidates(a, b, NODE)))
+    scored = materialize(scoring.text_scores(found, full, by, NODE))
     ranked = best_two(scored, by)
     chosen = assign(ranked.select(*by, "a", "b", "score"), by).select(*by, "a", "b")
     ready = ranked.join(chosen, [*by, "a", "b"]).select("*", (F.col("x.parent") == F.col("y.parent")).alias("same_parent"), F.abs(F.col("x.page_idx") - F.col("y.page_idx")).alias("page_gap"), F.size("x.tokens").alias("tokens_a"), F.size("y.tokens").alias("tokens_b"), F.col("x.heading").alias("heading_a"), F.col("y.heading").alias("heading_b"))
-    return guard_text(ready).drop("x", "y")
+    return _named(guard_text(ready), key)
+
 
+def match_table(artifacts: DataFrame, key: str = "id", older: int = 1) -> DataFrame:
+    """The same for tables: candidates by text and by header, row and number
+    probes, structural and numeric scores, table guards."""
+    from . import blocking, features, scoring
+
+    by = blocking.BY
+    wanted = _nodes(artifacts, "table", older, key)
+    full = materialize(scoring.table_features(features.with_tokens(wanted, unfold=True), by, NODE))
+    a, b = blocking.sides(full, older)
+    probes = [blocking.probe(a, b, F.col("grid.bigrams"), NODE), blocking.probe(a, b, F.col("grid.row_signatures"), NODE), blocking.probe(a, b, F.transform("grid.headers", F.lower), NODE), blocking.probe(a, b, F.col("numbers"), NODE)]
+    found = materialize(blocking.shortlist(a, b, NODE, want=64, found=blocking.candidates(a, b, NODE, extra=probes)))
+    scored = materialize(scoring.table_scores(found, full, by, NODE))
+    ranked = best_two(scored, by)
+    chosen = assign(ranked.select(*by, "a", "b", "score"), by).select(*by, "a", "b")
+    c = F.col
+    ready = ranked.join(chosen, [*by, "a", "b"]).select("*", (c("x.parent") == c("y.parent")).alias("same_parent"), F.abs(c("x.page_idx") - c("y.page_idx")).alias("page_gap"), c("x.grid.n_rows").alias("rows_a"), c("y.grid.n_rows").alias("rows_b"))
+    return _named(guard_table(ready), key)

@@ -57,7 +57,7 @@ def blocks(spark):
             add(doc, 2, "text", i, x)
         for i, g in enumerate((A, other)):
             add(doc, 1, "table", i, flat(g), html(g))
-        for i, g in enumerate((other, A[:4] + [["4", "35", "n/a"]])):
+        for i, g in enumerate((other, A[:4] + [["4", "3500", "stopped by hand"]])):
             add(doc, 2, "table", i, flat(g), html(g))
     return spark.createDataFrame(rows, "document string, version int, id string, kind string, pos int, text string, img_path string, table_body string, page_idx int, parent string, source_file string, ord int")
 

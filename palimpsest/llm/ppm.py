@@ -14,8 +14,8 @@ byte, and with a walk down the suffixes only where that fails.
 
 Bounds: the table that scoring workers get holds MAX_NODES of the longest
 strings at most, with their probabilities by the whole trie (24 bytes a string
-and worker). If there are more, the least power of two is found such that those
-counted as often fit. All other strings of a text, seen or not, are listed and
+and worker at most): those counted by the least power of two, 2 or more, at
+which they fit. All other strings of a text, seen or not, are listed and
 scored on the cluster, by joins with the counts of all strings and contexts, so
 that the model is the whole trie however large the corpus is. The word
 statistics of the base score are exact: the most frequent words, HOT_WORDS at
@@ -24,11 +24,14 @@ most, are looked up in a table, all others by a join.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import math
 import pickle
+import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +46,8 @@ FOLDS, HELD_OUT = 7, 2
 ORDER = 5
 #: Strings of MAX_ORDER + 1 bytes fit a signed 64-bit number and never meet the mark of an empty slot.
 MAX_ORDER = 6
-MAX_NODES = 2_000_000
-HOT_WORDS = 200_000
+MAX_NODES = 1 << 21
+HOT_WORDS = 100_000
 #: Words longer than this stand in the hot table by their MD5.
 HOT_BYTES = 48
 #: Byte that UTF-8 never holds: before a text and, as its last symbol, after it.
@@ -52,7 +55,8 @@ EDGE = 0xFF
 #: The end of a document among words: white space is never part of a word.
 END = b" "
 PIECE = 1 << 20
-FLUSH = 400_000
+#: Distinct words, and strings, that a counting task holds before it passes them on.
+FLUSH_WORDS, FLUSH_STRINGS = 200_000, 800_000
 _EMPTY = np.uint64(1 << 63)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -87,6 +91,15 @@ def strings(buffer: bytes, order: int) -> np.ndarray:
     return out
 
 
+def give_back() -> None:
+    """Memory that is free goes back to the system: workers live on after a task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def _counts(order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
@@ -97,9 +110,8 @@ def _counts(order: int):
             return keys, np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64)
 
         def rows(ws: Counter, keys: np.ndarray, ns: np.ndarray) -> Iterator[pa.RecordBatch]:
-            items = list(ws.items())
-            for lo in range(0, len(items), 50_000):
-                part = items[lo : lo + 50_000]
+            items = iter(ws.items())
+            while part := list(islice(items, 50_000)):
                 yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.binary()), pa.nulls(len(part), pa.int64()), pa.array([n for _, n in part], pa.int64())], ["word", "string", "n"])
             for lo in range(0, len(keys), 50_000):
                 k = keys[lo : lo + 50_000].view(np.int64)
@@ -111,18 +123,20 @@ def _counts(order: int):
             for t in texts:
                 words.update(t.split())
                 words[END] += 1
-                if len(words) > FLUSH:
+                if len(words) > FLUSH_WORDS:
                     yield from rows(words, *none)
                     words = Counter()
             for buffer, parts in pieces(texts, order):
                 keys = strings(buffer, order)
                 held.append(np.unique(np.concatenate([keys[a:b] for _, a, b in parts]), return_counts=True))
-                if sum(len(k) for k, _ in held) > 4 * FLUSH:
+                if sum(len(k) for k, _ in held) > 2 * FLUSH_STRINGS:
                     held = [merged()]
-                    if len(held[0][0]) > 2 * FLUSH:
+                    if len(held[0][0]) > FLUSH_STRINGS:
                         yield from rows(Counter(), *held[0])
                         held = []
         yield from rows(words, *(merged() if held else none))
+        words, held = Counter(), []
+        give_back()
 
     return run
 
@@ -206,10 +220,11 @@ class Nodes:
         self.seen = first["kinds"] if first else 0
 
     def frequent(self, most: int) -> tuple[np.ndarray, np.ndarray]:
-        """The longest strings by a threshold of their count, ``most`` at most, sorted, and their log10 probabilities."""
+        """The longest strings seen twice or more, by a threshold of their count
+        ``most`` at most, sorted, and their log10 probabilities."""
         longest = self.strings[-1]
         sizes = longest.agg(*[F.count_if(F.col("n") >= 2**i).alias(f"c{i}") for i in range(50)]).first()
-        least = next(2**i for i in range(50) if sizes[i] <= most or i == 49)
+        least = next(2**i for i in range(1, 50) if sizes[i] <= most or i == 49)
         found = longest.where(F.col("n") >= least).join(self.contexts[-1].select("ctx", "whole"), "ctx")
         table = found.select("string", (F.log10("n") - F.col("whole")).alias("p")).toArrow()  # most rows of 16 bytes at most
         keys, p = table.column(0).to_numpy().view(np.uint64), table.column(1).to_numpy()
@@ -278,19 +293,22 @@ def _score(shared, order: int):
 
 
 class _Shared:
-    """Tables for the workers, unpacked once in each."""
+    """Tables for the workers, opened once in each: the slots where the broadcast lies."""
 
-    _open: dict[int, tuple] = {}
+    _open: dict[str, tuple] = {}
 
     def __init__(self, spark, keys: np.ndarray, logs: np.ndarray, hot: dict[bytes, float]):
-        self.sent = spark.sparkContext.broadcast(pickle.dumps((keys, logs, hot), protocol=5))
-        self.key = xxhash.xxh64_intdigest(self.sent.value[:4096]) ^ len(self.sent.value) ^ id(self)
+        table = Table(keys, logs)
+        self.sent = spark.sparkContext.broadcast((table.slots.tobytes(), table.values.tobytes(), int(table.shift), pickle.dumps(hot, protocol=5)))
+        self.key = uuid.uuid4().hex
 
     def __call__(self):
         if self.key not in _Shared._open:
             _Shared._open.clear()
-            keys, logs, hot = pickle.loads(self.sent.value)
-            _Shared._open[self.key] = Table(keys, logs), hot
+            slots, values, shift, hot = self.sent.value
+            table = Table.__new__(Table)
+            table.slots, table.values, table.shift = np.frombuffer(slots, np.uint64), np.frombuffer(values, np.float32), np.uint64(shift)
+            _Shared._open[self.key] = table, pickle.loads(hot)
         return _Shared._open[self.key]
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import materialize, release
 
 MAX_ROUNDS = 60
 
@@ -27,10 +27,12 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
         large = edges.join(least.withColumnRenamed("n", "b"), "b").select("a", F.col("m").alias("b")).where("a <> b").distinct()
         large = materialize(large)
+        release(edges)
         # small star: smaller neighbours of a node, and itself, go to the smallest
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         small = materialize(small)
+        release(large)
         # done when every node has one link and no node is both linked and linked to
         open_ends = small.join(small.select(F.col("a").alias("b")).distinct(), "b", "left_semi")
         several = small.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

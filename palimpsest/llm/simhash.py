@@ -157,40 +157,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 COPY_SHINGLE, COPY_SIMILARITY = 5, 0.8
 #: Documents whose shingles are counted for the order of prefixes, and the most shingles listed as frequent.
 ORDER_DOCS, ORDER_LISTED = 5_000, 1 << 17
-#: More texts than this under one shingle are a crowd, compared with CROWD_ROUNDS leaders before all pairs are.
+#: Texts under one shingle with more pairs of different groups than so many a text are a crowd, compared with CROWD_ROUNDS leaders before all pairs are.
 COPY_CROWD, CROWD_ROUNDS = 64, 6
-#: Bins of a sketch: its estimate of the similarity has a deviation of 0.025 at 0.8.
-BINS = 256
-
-
-def sketch(text: bytes, shingle: int = COPY_SHINGLE) -> tuple[int, bytes]:
-    """The fingerprint over the distinct shingles, and per bin of their hashes
-    16 bits of the smallest one (0 where a bin is empty)."""
-    words = text.lower().split()
-    if not words:
-        return 0, b"\0" * (2 * BINS)
-    joined = b" ".join(words)
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(sizes + 1) - 1
-    n = max(1, len(words) - shingle + 1)
-    starts, ends = (ends - sizes)[:n], ends[min(shingle, len(words)) - 1 :]
-    hashed = xxhash.xxh64_intdigest
-    some = np.unique(np.fromiter((hashed(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, n))
-    counts = np.zeros(64, np.int64)
-    for lo in range(0, len(some), CHUNK):
-        counts += np.unpackbits(some[lo : lo + CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    at, first = np.unique(some >> np.uint64(64 - BINS.bit_length() + 1), return_index=True)
-    bins = np.zeros(BINS, np.uint16)
-    bins[at.astype(np.int64)] = np.maximum(some[first] & np.uint64(0xFFFF), 1)
-    return int.from_bytes(np.packbits(counts * 2 > len(some)).tobytes(), "big"), bins.tobytes()
-
-
-def similarity(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of the shingles by two sketches."""
-    x, y = np.frombuffer(a, np.uint16), np.frombuffer(b, np.uint16)
-    either = (x > 0) | (y > 0)
-    return float(((x == y) & either).sum() / max(1, either.sum()))
-
 
 def shingle_set(text: bytes, shingle: int = COPY_SHINGLE) -> np.ndarray:
     """XXH64 of the distinct shingles, ascending; a text of fewer words is one, one of none has none."""
@@ -225,12 +193,22 @@ def prefix(some: np.ndarray, least: float, listed: np.ndarray, times: np.ndarray
 
 
 def _prefixes(shingle: int, least: float, order):
+    """mark, size and prefix of the texts, each text once per task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         listed, times = (np.frombuffer(x, d) for x, d in zip(order.value, (np.uint64, np.int64), strict=True))
+        sent: set[int] = set()
         for batch in batches:
-            sets = [shingle_set(t, shingle) for t in batch.column(2).to_pylist()]
-            keys = [prefix(x, least, listed, times).view(np.int64) for x in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in sets], pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "mark", "size", "keys"])
+            marks, sizes, keys = [], [], []
+            for mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if mark in sent:
+                    continue
+                sent.add(mark)
+                some = shingle_set(text, shingle)
+                marks.append(mark)
+                sizes.append(len(some))
+                keys.append(prefix(some, least, listed, times).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["mark", "size", "keys"])
 
     return run
 
@@ -240,13 +218,11 @@ def _sets(shingle: int, rows: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                part = batch.slice(lo, 64)
-                sets = [shingle_set(t, shingle) for t in part.column(1).to_pylist()]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["key"])
-                else:
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in sets], pa.binary())], ["mark", "members"])
+            sets = [shingle_set(t, shingle) for t in batch.column(1).to_pylist()]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["key"])
+            else:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in sets], pa.binary())], ["mark", "members"])
 
     return run
 
@@ -261,7 +237,7 @@ def _frequent(rows: DataFrame, shingle: int):
     """The shingles that several of ORDER_DOCS documents hold and their number,
     ORDER_LISTED at most: any order of shingles is right, this one keeps the
     texts few that share the first ones."""
-    some = sampled(rows, rows.count(), ORDER_DOCS, "doc_id", "order").select("mark", "t").mapInArrow(_sets(shingle, True), "key long")
+    some = sampled(rows, rows.count(), ORDER_DOCS, "doc_id", "order").select("mark", "t").mapInArrow(sliced(_sets(shingle, True), 64), "key long")
     counts = materialize(some.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     sizes = counts.agg(*[F.count_if(F.col("n") >= 2**i).alias(f"c{i}") for i in range(20)]).first()
     over = next(2**i for i in range(20) if sizes[i] <= ORDER_LISTED or i == 19)
@@ -271,10 +247,20 @@ def _frequent(rows: DataFrame, shingle: int):
     return rows.sparkSession.sparkContext.broadcast((keys[by].tobytes(), n[by].tobytes()))
 
 
+def _members(raw: DataFrame, marks: DataFrame, shingle: int) -> DataFrame:
+    """mark and ``members`` (its shingle set as bytes) of the texts ``marks``."""
+    some = raw.select("mark", "t").join(marks.distinct(), "mark", "left_semi").dropDuplicates(["mark"])
+    return materialize(some.mapInArrow(sliced(_sets(shingle, False), 64), "mark long, members binary"))
+
+
 def _compared(pairs: DataFrame, look: DataFrame) -> DataFrame:
     """a, b and ``like``: the Jaccard similarity of each pair (a, b)."""
-    both = pairs.join(look.select(F.col("mark").alias("a"), F.col("members").alias("ma")), "a").join(look.select(F.col("mark").alias("b"), F.col("members").alias("mb")), "b")
-    return both.select("a", "b", "ma", "mb").mapInArrow(_likeness, "a long, b long, like double")
+    both = pairs.join(look.select(F.col("mark").alias("b"), F.col("members").alias("mb")), "b").join(look.select(F.col("mark").alias("a"), F.col("members").alias("ma")), "a")
+    return both.select("a", "b", "ma", "mb").mapInArrow(sliced(_likeness), "a long, b long, like double")
+
+
+def _sizes_allow(x: str, y: str, least: float) -> Column:
+    return F.least(x, y) >= least * F.greatest(x, y) - 1e-6
 
 
 def _may_be(least: float) -> Column:
@@ -282,8 +268,22 @@ def _may_be(least: float) -> Column:
     alike by ``least`` if it is the first one they share: by their sizes, and by
     what is left of them."""
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
-    by_size = F.least(x("size"), y("size")) >= least * F.greatest(x("size"), y("size")) - 1e-6
-    return by_size & (F.least(x("size") - x("pos"), y("size") - y("pos")) * (1 + least) >= least * (x("size") + y("size")) - 1e-6)
+    return _sizes_allow("x.size", "y.size", least) & (F.least(x("size") - x("pos"), y("size") - y("pos")) * (1 + least) >= least * (x("size") + y("size")) - 1e-6)
+
+
+def _grouped(listed: DataFrame, linked: DataFrame) -> DataFrame:
+    """``listed`` with the ``group`` (smallest mark) that ``linked`` connects each mark to."""
+    groups = components(linked).withColumnRenamed("node", "mark")
+    return listed.join(groups, "mark", "left").select(*listed.columns, F.coalesce("root", "mark").alias("group"))
+
+
+def _open(state: DataFrame, turn: int) -> DataFrame:
+    """Of each key whose texts (key, mark, size, group) are in several groups:
+    ``members``, ``cross`` (its pairs of different groups) and ``leader``, a text drawn by hash."""
+    drawn = F.min(F.struct(F.xxhash64("mark", F.lit(turn)).alias("h"), "mark", "size", "group"))
+    one = state.groupBy("key", "group").agg(F.count(F.lit(1)).alias("g"), drawn.alias("drawn"))
+    every = one.groupBy("key").agg(F.sum("g").alias("members"), ((F.sum("g") * F.sum("g") - F.sum(F.col("g") * F.col("g"))) / 2).alias("cross"), F.count(F.lit(1)).alias("groups"), F.min("drawn").alias("leader"))
+    return every.where("groups > 1").select("key", "members", "cross", "leader")
 
 
 def _crowds(crowds: DataFrame, linked: DataFrame, look: DataFrame, least: float, crowd: int, rounds: int) -> DataFrame:
@@ -295,23 +295,19 @@ def _crowds(crowds: DataFrame, linked: DataFrame, look: DataFrame, least: float,
     its pairs are decided. By the triangle inequality of 1 - similarity, texts
     within r = 1 - ``least`` of it, now of one group, can only be like those
     within 2 r; if all these are of its group, the former leave too. What is
-    left of a crowd is compared in all pairs of different groups, once it has
-    ``crowd`` members at most or after ``rounds`` leaders.
+    left of a crowd is compared in all pairs of different groups, once these are
+    ``crowd`` times its members at most, or after ``rounds`` leaders.
     """
     reach = 1 - least
     for turn in range(rounds + 1):
-        groups = components(linked)
-        state = crowds.join(groups.withColumnRenamed("node", "mark"), "mark", "left").select("key", "mark", "size", F.coalesce("root", "mark").alias("group"))
-        state = materialize(state)
-        drawn = F.min_by(F.struct("mark", "size", "group"), F.xxhash64("mark", F.lit(turn)))
-        open_ = materialize(state.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("group").alias("low"), F.max("group").alias("high"), drawn.alias("leader")).where("low <> high").select("key", "members", "leader"))
+        state = materialize(_grouped(crowds, linked))
+        open_ = materialize(_open(state, turn))
         if open_.isEmpty():
             return linked
         state = materialize(state.join(open_, "key"))
-        last = F.col("members") <= crowd if turn < rounds else F.lit(True)
+        last = F.col("cross") <= crowd * F.col("members") if turn < rounds else F.lit(True)
         x, y = state.where(last).alias("x"), state.where(last).alias("y")
-        sizes = F.least(F.col("x.size"), F.col("y.size")) >= least * F.greatest(F.col("x.size"), F.col("y.size")) - 1e-6
-        every = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.mark") < F.col("y.mark")) & (F.col("x.group") != F.col("y.group")) & sizes).select(F.col("x.mark").alias("a"), F.col("y.mark").alias("b"))
+        every = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.mark") < F.col("y.mark")) & (F.col("x.group") != F.col("y.group")) & _sizes_allow("x.size", "y.size", least)).select(F.col("x.mark").alias("a"), F.col("y.mark").alias("b"))
         rest = state.where(~last)
         ratio = F.least("size", "leader.size") / F.greatest("size", "leader.size")
         stars = rest.where((ratio >= 1 - 2 * reach - 1e-6) & (F.col("mark") != F.col("leader.mark"))).select(F.col("leader.mark").alias("a"), F.col("mark").alias("b"))
@@ -336,28 +332,51 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Prefix filtering: with all shingles in one order, two such texts share one
     of their first n - ceil(least * n) + 1 (n: shingles of a text). Texts meet
-    under these, pairs that cannot be alike by size and position are discarded,
-    and the others verified by their whole shingle sets. Of more than ``crowd``
-    texts under a shingle only as many pairs are compared as it takes to connect
-    the same groups (``_crowds``). Texts without words are in no group but that
+    under these and are verified by their whole shingle sets: first every text
+    with the leader (smallest mark) of each shingle that it is listed under,
+    which connects most groups with one comparison a text. Only under shingles
+    whose texts are not all of one group by then all other pairs of different
+    groups are compared, without those that cannot be alike by size and
+    position; where these would be more than ``crowd`` times the texts, only as
+    many as it takes to connect the same groups (``_crowds``). Texts without words are in no group but that
     of their equals. Nulls, repeats and empty tables as in ``near_duplicates``.
     """
     raw = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("mark"), text_or_empty(text_col).cast("binary").alias("t"))
-    schema = T.StructType([T.StructField("doc_id", raw.schema["doc_id"].dataType), *T._parse_datatype_string("mark long, size int, keys array<long>").fields])
-    rows = materialize(raw.mapInArrow(_prefixes(shingle, least, _frequent(raw, shingle)), schema))
-    texts = materialize(rows.groupBy("mark").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
-    listed = rows.dropDuplicates(["mark"]).select("mark", "size", F.posexplode("keys").alias("pos", "key"))
+    made = materialize(raw.select("mark", "t").mapInArrow(sliced(_prefixes(shingle, least, _frequent(raw, shingle))), "mark long, size int, keys array<long>"))
+    once = materialize(made.dropDuplicates(["mark"]))
+    release(made)
+    listed = once.select("mark", "size", F.posexplode("keys").alias("pos", "key"))
     shared = listed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = materialize(listed.join(shared, "key"))
-    look = raw.select("mark", "t").join(met.select("mark").distinct(), "mark", "left_semi").dropDuplicates(["mark"])
-    look = materialize(look.mapInArrow(_sets(shingle, False), "mark long, members binary"))
-    few = met.where(F.col("n") <= crowd)
-    pairs = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.mark") < F.col("y.mark")) & _may_be(least))
-    pairs = pairs.select(F.col("x.mark").alias("a"), F.col("y.mark").alias("b")).distinct()
-    linked = materialize(_compared(pairs, look).where(F.col("like") >= least - 1e-9).select("a", "b"))
-    linked = _crowds(met.where(F.col("n") > crowd).select("key", "mark", "size"), linked, look, least, crowd, rounds)
+    sizes = materialize(once.select("mark", "size"))
+    release(once)
+
+    leaders = met.groupBy("key").agg(F.min("mark").alias("leader"))
+    stars = met.select("key", "mark").join(leaders, "key").where("mark <> leader").select(F.col("leader").alias("a"), F.col("mark").alias("b")).distinct()
+    stars = stars.join(sizes.select(F.col("mark").alias("a"), F.col("size").alias("size_a")), "a").join(sizes.select(F.col("mark").alias("b"), F.col("size").alias("size_b")), "b")
+    stars = materialize(stars.where(_sizes_allow("size_a", "size_b", least)).select("a", "b"))
+    look = _members(raw, stars.select(F.explode(F.array("a", "b")).alias("mark")), shingle)
+    linked = materialize(_compared(stars, look).where(F.col("like") >= least - 1e-9).select("a", "b"))
+    release(stars, look, sizes)
+
+    state = materialize(_grouped(met, linked))
+    release(met)
+    state, closed = materialize(state.join(_open(state, 0).select("key", "members", "cross"), "key")), state
+    release(closed)
+    few = state.where(F.col("cross") <= crowd * F.col("members"))
+    pairs = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.mark") < F.col("y.mark")) & (F.col("x.group") != F.col("y.group")) & _may_be(least))
+    pairs = materialize(pairs.select(F.col("x.mark").alias("a"), F.col("y.mark").alias("b")).distinct())
+    crowds = state.where(F.col("cross") > crowd * F.col("members"))
+    look = _members(raw, pairs.select(F.explode(F.array("a", "b")).alias("mark")).unionByName(crowds.select("mark")), shingle)
+    linked = materialize(linked.unionByName(_compared(pairs, look).where(F.col("like") >= least - 1e-9).select("a", "b")))
+    if not crowds.isEmpty():
+        linked = _crowds(crowds.select("key", "mark", "size"), linked, look, least, crowd, rounds)
+
+    texts = materialize(raw.groupBy("mark").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
     found = materialize(components(linked).withColumnRenamed("node", "mark"))
+    release(state, pairs, look, linked)
     names = found.join(texts.select("mark", "first"), "mark").groupBy("root").agg(F.min("first").alias("lowest"))
     grouped = found.join(names, "root").select("mark", "lowest")
     named = materialize(texts.join(grouped, "mark", "left").select("mark", "n", F.coalesce("lowest", "first").alias("group_id")))
-    return salted_join(rows.select("doc_id", "mark"), named, ["mark"], "n", rows.count(), ["doc_id"]).select("doc_id", "group_id")
+    release(texts, found)
+    return salted_join(raw.select("doc_id", "mark"), named, ["mark"], "n", docs.count(), ["doc_id"]).select("doc_id", "group_id")

@@ -288,15 +288,17 @@ def _open(state: DataFrame, turn: int) -> DataFrame:
 
 def _crowds(crowds: DataFrame, linked: DataFrame, look: DataFrame, least: float, crowd: int, rounds: int) -> DataFrame:
     """``linked`` (a, b) and the links that connect what all pairs of texts under
-    one ``key`` of ``crowds`` (key, mark, size) that are alike would.
+    one ``key`` of ``crowds`` (key, mark, size, pos) that are alike would.
 
     A crowd whose texts are all in one group already is done. In the others the
     leader, a text drawn by hash, is compared with all members. It leaves: all
     its pairs are decided. By the triangle inequality of 1 - similarity, texts
     within r = 1 - ``least`` of it, now of one group, can only be like those
     within 2 r; if all these are of its group, the former leave too. What is
-    left of a crowd is compared in all pairs of different groups, once these are
-    ``crowd`` times its members at most, or after ``rounds`` leaders.
+    left of a crowd is compared in all pairs of different groups that can be
+    alike with this key as the first they share (a pair alike meets under that
+    one too), once its pairs are ``crowd`` times its members at most, or after
+    ``rounds`` leaders.
     """
     reach = 1 - least
     for turn in range(rounds + 1):
@@ -307,7 +309,7 @@ def _crowds(crowds: DataFrame, linked: DataFrame, look: DataFrame, least: float,
         state = materialize(state.join(open_, "key"))
         last = F.col("cross") <= crowd * F.col("members") if turn < rounds else F.lit(True)
         x, y = state.where(last).alias("x"), state.where(last).alias("y")
-        every = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.mark") < F.col("y.mark")) & (F.col("x.group") != F.col("y.group")) & _sizes_allow("x.size", "y.size", least)).select(F.col("x.mark").alias("a"), F.col("y.mark").alias("b"))
+        every = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.mark") < F.col("y.mark")) & (F.col("x.group") != F.col("y.group")) & _may_be(least)).select(F.col("x.mark").alias("a"), F.col("y.mark").alias("b"))
         rest = state.where(~last)
         ratio = F.least("size", "leader.size") / F.greatest("size", "leader.size")
         stars = rest.where((ratio >= 1 - 2 * reach - 1e-6) & (F.col("mark") != F.col("leader.mark"))).select(F.col("leader.mark").alias("a"), F.col("mark").alias("b"))
@@ -321,7 +323,7 @@ def _crowds(crowds: DataFrame, linked: DataFrame, look: DataFrame, least: float,
         # only in crowds without a text of another group at up to twice the reach
         edge = (F.col("far") > reach + 1e-9) & (F.col("far") <= 2 * reach + 1e-6) & (F.col("group") != F.col("leader.group"))
         kept = rest.where(edge).select("key").distinct().withColumn("edged", F.lit(True))
-        crowds = rest.join(kept, "key", "left").where((F.col("far") > reach + 1e-9) | F.col("edged")).select("key", "mark", "size")
+        crowds = rest.join(kept, "key", "left").where((F.col("far") > reach + 1e-9) | F.col("edged")).select("key", "mark", "size", "pos")
     return linked
 
 
@@ -370,7 +372,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     look = _members(raw, pairs.select(F.explode(F.array("a", "b")).alias("mark")).unionByName(crowds.select("mark")), shingle)
     linked = materialize(linked.unionByName(_compared(pairs, look).where(F.col("like") >= least - 1e-9).select("a", "b")))
     if not crowds.isEmpty():
-        linked = _crowds(crowds.select("key", "mark", "size"), linked, look, least, crowd, rounds)
+        linked = _crowds(crowds.select("key", "mark", "size", "pos"), linked, look, least, crowd, rounds)
 
     texts = materialize(raw.groupBy("mark").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
     found = materialize(components(linked).withColumnRenamed("node", "mark"))

@@ -159,6 +159,8 @@ COPY_SHINGLE, COPY_SIMILARITY = 5, 0.8
 ORDER_DOCS, ORDER_LISTED = 5_000, 1 << 17
 #: Texts under one shingle with more pairs of different groups than so many a text are a crowd, compared with CROWD_ROUNDS leaders before all pairs are.
 COPY_CROWD, CROWD_ROUNDS = 64, 6
+#: 64-bit words of a set's signature.
+SIGN_WORDS = 8
 
 def shingle_set(text: bytes, shingle: int = COPY_SHINGLE) -> np.ndarray:
     """XXH64 of the distinct shingles, ascending; a text of fewer words is one, one of none has none."""
@@ -192,14 +194,22 @@ def prefix(some: np.ndarray, least: float, listed: np.ndarray, times: np.ndarray
     return some[np.lexsort((some, level))][: len(some) - math.ceil(least * len(some) - 1e-9) + 1]
 
 
+def signature(some: np.ndarray) -> np.ndarray:
+    """SIGN_WORDS words; bit j is set if an odd number of a set's hashes are j modulo
+    their bits. Two sets differ in at least as many members as their signatures do in bits."""
+    bits = 64 * SIGN_WORDS
+    odd = np.bincount((some % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _prefixes(shingle: int, least: float, order):
-    """mark, size and prefix of the texts, each text once per task."""
+    """mark, size, signature and prefix of the texts, each text once per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         listed, times = (np.frombuffer(x, d) for x, d in zip(order.value, (np.uint64, np.int64), strict=True))
         sent: set[int] = set()
         for batch in batches:
-            marks, sizes, keys = [], [], []
+            marks, sizes, signs, keys = [], [], [], []
             for mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if mark in sent:
                     continue
@@ -207,8 +217,9 @@ def _prefixes(shingle: int, least: float, order):
                 some = shingle_set(text, shingle)
                 marks.append(mark)
                 sizes.append(len(some))
+                signs.append(signature(some))
                 keys.append(prefix(some, least, listed, times).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["mark", "size", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int64()), pa.array(sizes, pa.int32()), pa.array(signs, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], ["mark", "size", "sign", "keys"])
 
     return run
 
@@ -253,6 +264,19 @@ def _members(raw: DataFrame, marks: DataFrame, shingle: int) -> DataFrame:
     return materialize(some.mapInArrow(sliced(_sets(shingle, False), 64), "mark long, members binary"))
 
 
+def _possible(pairs: DataFrame, signs: DataFrame) -> DataFrame:
+    """a and b of the pairs (a, b, floor) that can be alike by ``floor``: sets that
+    are differ in (1 - floor) / (1 + floor) of their sizes' sum at most, and
+    signatures in no more bits. No pair alike is lost, and the sets of most
+    others need not be moved."""
+    both = pairs
+    for side in ("a", "b"):
+        both = both.join(signs.select(F.col("mark").alias(side), F.col("size").alias(f"size_{side}"), F.col("sign").alias(f"sign_{side}")), side)
+    apart = sum((F.bit_count(F.col("sign_a")[i].bitwiseXOR(F.col("sign_b")[i])) for i in range(SIGN_WORDS)), F.lit(0))
+    apart = F.greatest(apart, F.abs(F.col("size_a") - F.col("size_b")))
+    return both.where(apart * (1 + F.col("floor")) <= (1 - F.col("floor")) * (F.col("size_a") + F.col("size_b")) + 1e-6).select("a", "b")
+
+
 def _compared(pairs: DataFrame, look: DataFrame) -> DataFrame:
     """a, b and ``like``: the Jaccard similarity of each pair (a, b)."""
     both = pairs.join(look.select(F.col("mark").alias("b"), F.col("members").alias("mb")), "b").join(look.select(F.col("mark").alias("a"), F.col("members").alias("ma")), "a")
@@ -286,7 +310,7 @@ def _open(state: DataFrame, turn: int) -> DataFrame:
     return every.where("groups > 1").select("key", "members", "cross", "leader")
 
 
-def _crowds(crowds: DataFrame, linked: DataFrame, look: DataFrame, least: float, crowd: int, rounds: int) -> DataFrame:
+def _crowds(crowds: DataFrame, linked: DataFrame, look: DataFrame, signs: DataFrame, least: float, crowd: int, rounds: int) -> DataFrame:
     """``linked`` (a, b) and the links that connect what all pairs of texts under
     one ``key`` of ``crowds`` (key, mark, size, pos) that are alike would.
 
@@ -301,25 +325,37 @@ def _crowds(crowds: DataFrame, linked: DataFrame, look: DataFrame, least: float,
     ``rounds`` leaders.
     """
     reach = 1 - least
+    rest = None
     for turn in range(rounds + 1):
-        state = materialize(_grouped(crowds, linked))
-        open_ = materialize(_open(state, turn))
+        grouped = materialize(_grouped(crowds, linked))
+        if rest is not None:
+            release(rest)
+        open_ = materialize(_open(grouped, turn))
         if open_.isEmpty():
+            release(grouped, open_)
             return linked
-        state = materialize(state.join(open_, "key"))
+        state = materialize(grouped.join(open_, "key"))
+        release(grouped, open_)
         last = F.col("cross") <= crowd * F.col("members") if turn < rounds else F.lit(True)
         x, y = state.where(last).alias("x"), state.where(last).alias("y")
         every = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.mark") < F.col("y.mark")) & (F.col("x.group") != F.col("y.group")) & _may_be(least)).select(F.col("x.mark").alias("a"), F.col("y.mark").alias("b"))
         rest = state.where(~last)
         ratio = F.least("size", "leader.size") / F.greatest("size", "leader.size")
         stars = rest.where((ratio >= 1 - 2 * reach - 1e-6) & (F.col("mark") != F.col("leader.mark"))).select(F.col("leader.mark").alias("a"), F.col("mark").alias("b"))
-        decided = materialize(_compared(every.unionByName(stars).distinct(), look))
-        linked = materialize(linked.unionByName(decided.where(F.col("like") >= least - 1e-9).select("a", "b")))
+        # beyond twice the reach a leader's exact distance doesn't matter
+        wanted = every.withColumn("floor", F.lit(least)).unionByName(stars.withColumn("floor", F.lit(1 - 2 * reach - 1e-6)))
+        wanted = materialize(_possible(wanted.groupBy("a", "b").agg(F.min("floor").alias("floor")), signs))
+        decided = materialize(_compared(wanted, look))
+        release(wanted)
+        linked, before = materialize(linked.unionByName(decided.where(F.col("like") >= least - 1e-9).select("a", "b"))), linked
+        release(before)
         if turn == rounds:
+            release(state, decided)
             return linked
         far = decided.select(F.col("a").alias("at"), F.col("b").alias("mark"), (1 - F.col("like")).alias("far"))
         rest = rest.where(F.col("mark") != F.col("leader.mark")).withColumn("at", F.col("leader.mark"))
         rest = materialize(rest.join(far, ["at", "mark"], "left").withColumn("far", F.coalesce("far", F.lit(1.0))))
+        release(state, decided)
         # only in crowds without a text of another group at up to twice the reach
         edge = (F.col("far") > reach + 1e-9) & (F.col("far") <= 2 * reach + 1e-6) & (F.col("group") != F.col("leader.group"))
         kept = rest.where(edge).select("key").distinct().withColumn("edged", F.lit(True))
@@ -344,22 +380,21 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of their equals. Nulls, repeats and empty tables as in ``near_duplicates``.
     """
     raw = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("mark"), text_or_empty(text_col).cast("binary").alias("t"))
-    made = materialize(raw.select("mark", "t").mapInArrow(sliced(_prefixes(shingle, least, _frequent(raw, shingle))), "mark long, size int, keys array<long>"))
+    made = materialize(raw.select("mark", "t").mapInArrow(sliced(_prefixes(shingle, least, _frequent(raw, shingle))), "mark long, size int, sign array<long>, keys array<long>"))
     once = materialize(made.dropDuplicates(["mark"]))
+    signs = materialize(once.select("mark", "size", "sign"))
     release(made)
     listed = once.select("mark", "size", F.posexplode("keys").alias("pos", "key"))
     shared = listed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = materialize(listed.join(shared, "key"))
-    sizes = materialize(once.select("mark", "size"))
     release(once)
 
     leaders = met.groupBy("key").agg(F.min("mark").alias("leader"))
     stars = met.select("key", "mark").join(leaders, "key").where("mark <> leader").select(F.col("leader").alias("a"), F.col("mark").alias("b")).distinct()
-    stars = stars.join(sizes.select(F.col("mark").alias("a"), F.col("size").alias("size_a")), "a").join(sizes.select(F.col("mark").alias("b"), F.col("size").alias("size_b")), "b")
-    stars = materialize(stars.where(_sizes_allow("size_a", "size_b", least)).select("a", "b"))
+    stars = materialize(_possible(stars.withColumn("floor", F.lit(least)), signs))
     look = _members(raw, stars.select(F.explode(F.array("a", "b")).alias("mark")), shingle)
     linked = materialize(_compared(stars, look).where(F.col("like") >= least - 1e-9).select("a", "b"))
-    release(stars, look, sizes)
+    release(stars, look)
 
     state = materialize(_grouped(met, linked))
     release(met)
@@ -367,16 +402,17 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     release(closed)
     few = state.where(F.col("cross") <= crowd * F.col("members"))
     pairs = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.mark") < F.col("y.mark")) & (F.col("x.group") != F.col("y.group")) & _may_be(least))
-    pairs = materialize(pairs.select(F.col("x.mark").alias("a"), F.col("y.mark").alias("b")).distinct())
+    pairs = pairs.select(F.col("x.mark").alias("a"), F.col("y.mark").alias("b")).distinct()
+    pairs = materialize(_possible(pairs.withColumn("floor", F.lit(least)), signs))
     crowds = state.where(F.col("cross") > crowd * F.col("members"))
     look = _members(raw, pairs.select(F.explode(F.array("a", "b")).alias("mark")).unionByName(crowds.select("mark")), shingle)
     linked = materialize(linked.unionByName(_compared(pairs, look).where(F.col("like") >= least - 1e-9).select("a", "b")))
     if not crowds.isEmpty():
-        linked = _crowds(crowds.select("key", "mark", "size", "pos"), linked, look, least, crowd, rounds)
+        linked = _crowds(crowds.select("key", "mark", "size", "pos"), linked, look, signs, least, crowd, rounds)
 
     texts = materialize(raw.groupBy("mark").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
     found = materialize(components(linked).withColumnRenamed("node", "mark"))
-    release(state, pairs, look, linked)
+    release(state, pairs, look, linked, signs)
     names = found.join(texts.select("mark", "first"), "mark").groupBy("root").agg(F.min("first").alias("lowest"))
     grouped = found.join(names, "root").select("mark", "lowest")
     named = materialize(texts.join(grouped, "mark", "left").select("mark", "n", F.coalesce("lowest", "first").alias("group_id")))

@@ -118,6 +118,17 @@ def test_near_copies_at_the_threshold(spark):
     assert got == linked_groups(sets)
 
 
+def test_signatures_never_rule_out_a_pair_alike():
+    """Signatures differ in no more bits than sets in members, for equal, nested, far and empty sets."""
+    rng = np.random.default_rng(10)
+    for n in (0, 1, 7, 300, 5_000):
+        some = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        for other in (some, some[: n // 2], np.unique(rng.integers(0, 2**63, 400).astype(np.uint64))):
+            bits = sum(int(x).bit_count() for x in (simhash.signature(some) ^ simhash.signature(other)).view(np.uint64))
+            assert bits <= len(np.setxor1d(some, other))
+    assert simhash.signature(some[:0]).tolist() == [0] * simhash.SIGN_WORDS
+
+
 def test_crowd_of_near_copies(spark):
     """Families of differing copies larger than a crowd, some beyond a leader's reach, and texts that only share a passage."""
     rng = np.random.default_rng(9)

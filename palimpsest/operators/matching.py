@@ -16,7 +16,7 @@ CROSS_THRESHOLD = 0.62
 MARGIN, SURE = 0.05, 0.78
 PARENT_PENALTY, PAGE_PENALTY, PAGE_SOFT = 0.05, 0.05, 40
 NEAR_SCORE, NEAR_HEADER, NEAR_COLUMN, NEAR_ROWS, NEAR_SEMANTIC, NEAR_EACH = 0.45, 0.25, 0.30, 0.20, 0.40, 3
-#: Larger groups are assigned greedily, row by row.
+#: Larger groups fall apart into what their positive scores connect; a part still larger is assigned greedily.
 LARGEST = 4_000
 
 
@@ -79,21 +79,49 @@ def guard_table(p: DataFrame) -> DataFrame:
 def assign(pairs: DataFrame, by: list[str]) -> DataFrame:
     """The one-to-one pairs of the largest total score in each group (those not
     in ``pairs`` count nothing). A group must fit one task: it is a document and
-    a kind; past LARGEST blocks a side it is assigned greedily."""
+    a kind. Past LARGEST blocks a side, each part that pairs of a positive score
+    connect is assigned by itself, which gives the same total; only a part that
+    is past LARGEST itself is assigned greedily."""
 
     def solve(f: pd.DataFrame) -> pd.DataFrame:
-        a, b = np.unique(f["a"]), np.unique(f["b"])
-        if max(len(a), len(b)) > LARGEST:
-            return _greedy(f)
-        table = np.zeros((len(a), len(b)))
-        i, j = np.searchsorted(a, f["a"]), np.searchsorted(b, f["b"])
-        table[i, j] = f["score"]
-        chosen = set(assignment(1 - table))
-        return f[[(x, y) in chosen for x, y in zip(i.tolist(), j.tolist(), strict=True)]]
+        return _assigned(f, LARGEST)
 
     return pairs.groupBy(*by).applyInPandas(solve, pairs.schema)
 
 
+def _assigned(f: pd.DataFrame, largest: int) -> pd.DataFrame:
+    if max(f["a"].nunique(), f["b"].nunique()) <= largest:
+        return _optimal(f)
+    some = f[f["score"] > 0]
+    parts = [g for _, g in some.groupby(_connected(some))]
+    fits = (max(g["a"].nunique(), g["b"].nunique()) <= largest for g in parts)
+    return pd.concat([f.iloc[:0], *(_optimal(g) if ok else _greedy(g) for g, ok in zip(parts, fits, strict=True))])
+
+
+def _optimal(f: pd.DataFrame) -> pd.DataFrame:
+    a, b = np.unique(f["a"]), np.unique(f["b"])
+    table = np.zeros((len(a), len(b)))
+    i, j = np.searchsorted(a, f["a"]), np.searchsorted(b, f["b"])
+    table[i, j] = f["score"]
+    chosen = set(assignment(1 - table))
+    return f[[(x, y) in chosen for x, y in zip(i.tolist(), j.tolist(), strict=True)]]
+
+
+def _connected(f: pd.DataFrame) -> np.ndarray:
+    """A number per row, the same for rows that shared a or b connect."""
+    i, j = np.unique(f["a"], return_inverse=True)[1], np.unique(f["b"], return_inverse=True)[1]
+    up = list(range(len(f) * 2))
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for x, y in zip(i.tolist(), j.tolist(), strict=True):
+        up[top(x)] = top(len(f) + y)
+    return np.array([top(x) for x in i.tolist()], dtype=np.int64)
+
+
 def _greedy(f: pd.DataFrame) -> pd.DataFrame:
     f = f.sort_values(["score", "a", "b"], ascending=[False, True, True])
     used_a, used_b, keep = set(), set(), []

@@ -10,6 +10,7 @@ from collections import Counter
 from difflib import SequenceMatcher
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -274,3 +275,17 @@ def test_progress_stream(spark, tmp_path):
     assert {(r.start, r.completed_ratio) for r in out} <= want and len(out) >= 2
     m = progress.monotone(events, ["task_id"]).orderBy("ts").collect()
     assert [r.checkpoint for r in m] == [False, *[True] * 7]
+
+
+def test_assignment_of_parts_gives_the_same_total():
+    rng = np.random.default_rng(11)
+    rows = [(f"a{k}.{i}", f"b{k}.{j}", float(rng.integers(0, 100)) / 100) for k in range(12) for i in range(4) for j in range(3)]
+    rows += [(f"a{k}.0", f"b{k + 1}.0", 0.0) for k in range(11)]
+    f = pd.DataFrame(rows, columns=["a", "b", "score"])
+    whole, parts = matching._assigned(f, 1_000), matching._assigned(f, 4)
+    assert parts["a"].is_unique and parts["b"].is_unique
+    assert abs(parts["score"].sum() - whole["score"].sum()) < 1e-9
+    none = matching._assigned(f.assign(score=0.0), 4)
+    assert len(none) == 0 and list(none.columns) == ["a", "b", "score"]
+    greedy = matching._assigned(f, 2)
+    assert greedy["a"].is_unique and greedy["b"].is_unique

@@ -35,10 +35,11 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles alike by 0.8 or more) the
-    document of the smallest id. Rows that repeat its id stay with it; rows
-    without an id stay."""
-    found = simhash.near_copies(docs).where("doc_id <> group_id").select(F.col("doc_id").alias("__p_copy")).distinct()
+    """Of each component of linked SimHash fingerprints (``simhash.near_duplicates``:
+    met under block triples, ruled out by pivot distances, verified bit by bit) the
+    document of the smallest id. Rows that repeat its id stay with it; rows without
+    an id stay."""
+    found = simhash.near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__p_copy")).distinct()
     return docs.join(found, F.col("doc_id") == F.col("__p_copy"), "left_anti")
 
 

@@ -144,3 +144,22 @@ def test_crowd_of_near_copies(spark):
     assert 20 < len(set(want.values())) < len(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert {r.doc_id: r.group_id for r in simhash.near_copies(df, crowd=2, rounds=2).collect()} == want
+
+
+def test_drop_copies_keeps_one_of_each_simhash_component(spark):
+    """The stage drops what fingerprints of 2 differing bits or fewer connect, all pairs compared, and nothing else."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(80):
+        base = [f"s{i}w{j}" for j in range(100 + 5 * i)]
+        rows += [(3 * i, " ".join(base)), (3 * i + 1, varied(base, rng, 0.002 + 0.0002 * i, f"d{i}x")), (3 * i + 2, " ".join(base).upper())]
+    rows += [(1_000, None), (1_001, " "), (1_002, "a b"), (None, "A b")]
+    prints = {i: simhash.fingerprint((t or "").encode()) for i, t in rows if i is not None}
+    bits = {i: {(j, f >> j & 1) for j in range(64)} for i, f in prints.items()}
+    # sets of (place, bit) share 64 - d of 64 + d members at d differing bits
+    want = {i for i, g in linked_groups(bits, 62 / 66).items() if i == g}
+    middle = {3 * i + 1 for i in range(80)}
+    assert middle & want and middle - want
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [r.doc_id for r in corpus_pipeline.drop_copies(spark, df, "").collect()]
+    assert len(got) == len(set(got)) and set(got) == want | {None}

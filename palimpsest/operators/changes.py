@@ -38,10 +38,11 @@ def exact_changes(blocks: DataFrame, by: list[str]) -> DataFrame:
     return sides.select(*by, label.alias("change"))
 
 
-def identical(left: Column, right: Column, kind: Column, left_html: Column | None = None, right_html: Column | None = None) -> Column:
+def identical(left: Column, right: Column, kind: Column, left_html: Column | None = None, right_html: Column | None = None, contents: tuple[Column, Column] | None = None) -> Column:
     """Equal in content: tables by their cells, everything else by normalised
-    text or the same set of words."""
-    a, b = t.content(left), t.content(right)
+    text or the same set of words. ``contents``: both sides' normalised texts,
+    where they are at hand."""
+    a, b = contents or (t.content(left), t.content(right))
     words = lambda c: F.filter(F.split(c, " "), lambda x: x != "")
     text = (a == b) | k.same_set(words(a), words(b))
     x = tb.matrix(F.coalesce(left, F.lit("")), left_html if left_html is not None else F.lit(""))
@@ -50,23 +51,27 @@ def identical(left: Column, right: Column, kind: Column, left_html: Column | Non
     return F.when(kind == "table", cells).otherwise(text)
 
 
-def trivial(left: Column, right: Column) -> Column:
+def trivial(left: Column, right: Column, contents: tuple[Column, Column] | None = None) -> Column:
     """The label that needs no look at the meaning, or null: emptiness and equal content."""
     a, b = t.is_blank(left), t.is_blank(right)
-    return F.when(a & b, "No Change").when(a, "New").when(b, "Deleted").when(t.content(left) == t.content(right), "No Change")
+    x, y = contents or (t.content(left), t.content(right))
+    return F.when(a & b, "No Change").when(a, "New").when(b, "Deleted").when(x == y, "No Change")
 
 
 def classify(pairs: DataFrame, left: str = "left_text", right: str = "right_text", left_html: str | None = None, right_html: str | None = None) -> DataFrame:
-    """Adds change_type (null: not trivial) to pairs with kind. The cheap rules
-    run first; only pairs they leave reach the ratio, once each."""
-    same = identical(F.col(left), F.col(right), F.col("kind"), F.col(left_html) if left_html else None, F.col(right_html) if right_html else None)
-    first = pairs.withColumn("change_type", F.when(same, "No Change").otherwise(trivial(F.col(left), F.col(right))))
-    done, rest = first.where(F.col("change_type").isNotNull()), first.where(F.col("change_type").isNull())
-    a, b = t.content(F.col(left)), t.content(F.col(right))
-    rest = rest.withColumn("__a", a).withColumn("__b", b).withColumn("__r", near_ratio(F.col("__a"), F.col("__b")))
+    """Adds change_type (null: not trivial) to pairs with kind. Each side is
+    normalised once, in one pass over the pairs; only what the cheap rules leave
+    reaches the ratio (the others as nulls, which cost nothing)."""
+    a, b = F.col("__a"), F.col("__b")
+    html = [F.col(c) if c else None for c in (left_html, right_html)]
+    rows = pairs.withColumn("__a", t.content(F.col(left))).withColumn("__b", t.content(F.col(right)))
+    same = identical(F.col(left), F.col(right), F.col("kind"), *html, contents=(a, b))
+    rows = rows.withColumn("__t", F.when(same, "No Change").otherwise(trivial(F.col(left), F.col(right), (a, b))))
+    open_ = lambda c: F.when(F.col("__t").isNull(), c)
+    rows = rows.withColumn("__r", near_ratio(open_(a), open_(b)))
     short = (F.col("kind") == "text") & (F.least(F.size(F.split("__a", " ")), F.size(F.split("__b", " "))) <= SHORT_WORDS)
-    rest = rest.withColumn("change_type", F.when((F.col("__r") >= SAME) | (short & (F.col("__r") >= SHORT_SAME)), "No Change")).drop("__a", "__b", "__r")
-    return done.unionByName(rest)
+    alike = F.when((F.col("__r") >= SAME) | (short & (F.col("__r") >= SHORT_SAME)), "No Change")
+    return rows.withColumn("change_type", F.coalesce("__t", alike)).drop("__a", "__b", "__t", "__r")
 
 
 def batches(pairs: DataFrame, by: list[str], order: list[str]) -> DataFrame:

@@ -289,3 +289,50 @@ def test_assignment_of_parts_gives_the_same_total():
     assert len(none) == 0 and list(none.columns) == ["a", "b", "score"]
     greedy = matching._assigned(f, 2)
     assert greedy["a"].is_unique and greedy["b"].is_unique
+
+
+def test_run_bound_settles_texts_of_the_same_letters(monkeypatch):
+    """Never under the ratio, and low enough that long texts of the same letters are not matched character by character."""
+    import random
+    from difflib import SequenceMatcher
+
+    from palimpsest.functions import similarity as sm
+
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(300)]
+    for n in (0, 1, 5, 40, 150):
+        a = " ".join(rng.choices(words, k=n))
+        for change in (0, 1, 3, 20):
+            b = list(a)
+            for _ in range(change):
+                at = rng.randrange(len(b) + 1)
+                b[at : at + rng.randint(0, 2)] = rng.choices("abc ", k=rng.randint(0, 2))
+            b = "".join(b)
+            exact = SequenceMatcher(None, a, b, autojunk=False).ratio()
+            assert sm.run_bound(a, b) >= exact - 1e-12
+            found = sm.bounded(a, b, 0.96)
+            assert found == exact if exact >= 0.96 else found < 0.96
+    some = rng.choices(words, k=2_000)
+    a, b = " ".join(some), " ".join(reversed(some))
+    monkeypatch.setattr(SequenceMatcher, "ratio", lambda self: pytest.fail("matched in full"))
+    assert sm.bounded(a, b, 0.96) < 0.96
+
+
+def test_content_of_unmarked_texts(spark):
+    """The short way gives what all steps give."""
+    texts = ["", "  ", "Plain  text, 1 2 3 km h\n4\t5", "a+b = c % d - e", "Ünï 1   2", "`code` *x* _y_ ~~z~~", "# head\ntext", "<b>1</b> | 2", "5 km / h", "> = 3", "1 2 3 4 5 6"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate([*texts, None])], "i int, x string")
+    full = F.lower(F.trim(t.spark_steps(F.coalesce("x", F.lit("")), t.CONTENT)))
+    assert all(r.a == r.b for r in rows.select(t.content(F.col("x")).alias("a"), full.alias("b")).collect())
+    blank = F.col("x").isNull() | (F.trim(F.regexp_replace("x", r"\s+", " ")) == "")
+    assert all(r.a == r.b for r in rows.select(t.is_blank(F.col("x")).alias("a"), blank.alias("b")).collect())
+
+
+def test_classify_normalises_each_side_once(spark):
+    """One pass over the pairs, each text normalised in one expression."""
+    rows = [("text", "One two three", "one  two, three"), ("text", None, "new"), ("text", "***", ""), ("text", "b a", "a b"), ("text", "a shall be 5", "a shall be 6 at most"), ("table", "| a | b |", "| a | c |"), ("text", "gone", " "), ("text", "the same five words but one here x" * 9, "the same five words but one here x" * 9 + "y")]
+    found = changes.classify(spark.createDataFrame(rows, "kind string, left_text string, right_text string"))
+    got = [r.change_type for r in found.collect()]
+    assert got == ["No Change", "New", "No Change", "No Change", None, None, "Deleted", "No Change"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("km") <= 2

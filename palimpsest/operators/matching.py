@@ -196,13 +196,15 @@ def match_text(artifacts: DataFrame, key: str = "id", older: int = 1, kind: str
     wanted = _nodes(artifacts, kind, older, key)
     parts = features.with_tokens(wanted, unfold=True)
     parts = features.without_stopwords(parts, features.stopwords(parts, by), by)
-    full = materialize(features.with_features(parts, by, NODE))
+    full = materialize(features.with_features(parts, by, NODE).drop("shingles"))
     a, b = blocking.sides(full, older)
     found = materialize(blocking.shortlist(a, b, NODE, found=blocking.candidates(a, b, NODE)))
     scored = materialize(scoring.text_scores(found, full, by, NODE))
     ranked = best_two(scored, by)
     chosen = assign(ranked.select(*by, "a", "b", "score"), by).select(*by, "a", "b")
-    ready = ranked.join(chosen, [*by, "a", "b"]).select("*", (F.col("x.parent") == F.col("y.parent")).alias("same_parent"), F.abs(F.col("x.page_idx") - F.col("y.page_idx")).alias("page_gap"), F.size("x.tokens").alias("tokens_a"), F.size("y.tokens").alias("tokens_b"), F.col("x.heading").alias("heading_a"), F.col("y.heading").alias("heading_b"))
+    # the blocks themselves are joined last, to the pairs chosen
+    ends = full.select(*by, NODE, key, "parent", "page_idx", "tokens", "heading")
+    ready = scoring.paired(ranked.join(chosen, [*by, "a", "b"]), ends, by, NODE).select("*", (F.col("x.parent") == F.col("y.parent")).alias("same_parent"), F.abs(F.col("x.page_idx") - F.col("y.page_idx")).alias("page_gap"), F.size("x.tokens").alias("tokens_a"), F.size("y.tokens").alias("tokens_b"), F.col("x.heading").alias("heading_a"), F.col("y.heading").alias("heading_b"))
     return _named(guard_text(ready), key)
 
 

@@ -136,6 +136,17 @@ def test_scores_sum_their_weights(spark):
     assert r.score == pytest.approx(sum(w * r[n] for n, w in scoring.TEXT.items()))
 
 
+def test_text_scores_in_one_place_are_those_by_joins(spark, monkeypatch):
+    texts = ["alpha beta gamma delta epsilon 0x1f", "alpha beta gamma delta eta 12.5", "alpha beta gamma delta epsilon 0x1f", "", "beta gamma delta eta theta one two three"]
+    rows = blocks_df(spark, [(1, v, "text", f"{v}{i}", i, 9 * i, "pq"[i % 2], x) for v in (1, 2) for i, x in enumerate(texts)])
+    full = features.with_features(features.with_tokens(rows), blocking.BY, "id")
+    pairs = spark.createDataFrame([(1, "text", f"1{i}", f"2{j}") for i in range(5) for j in range(5)], "document long, kind string, a string, b string")
+    monkeypatch.setattr(scoring, "CELL_PAIRS", 4)
+    got, want = ({(r.a, r.b): r for r in f(pairs, full, blocking.BY, "id").collect()} for f in (scoring.text_scores, scoring.joined_text_scores))
+    assert set(got) == set(want) and len(got) == 25 and "x" not in next(iter(got.values()))
+    assert all(got[p][n] == pytest.approx(want[p][n]) for p in got for n in [*scoring.TEXT, "score"])
+
+
 def test_table_and_image_scores(spark):
     row = dict.fromkeys(scoring.TABLE, 0.5) | {"row_overlap": 0.7, "numeric_share_a": 0.6, "numeric_share_b": 0.6, "numeric_score": 0.9}
     df = spark.createDataFrame([row, row | {"row_overlap": 0.1, "rowbag_jacc": 0.1, "col_sem_top2": 0.2, "numeric_share_a": 0.1}])
